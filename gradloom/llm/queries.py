@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import embedding_pq, langid, quality, sentencepiece, simhash
 from ._common import table
 
+#: The folder of the public tokenizers' files, on every machine.
+TOKENIZERS = os.environ.get("GRADLOOM_TOKENIZERS", "/opt/tokenizers")
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode_table(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op3_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_pq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
 
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_folds(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_folds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op3_embedding_pq": op3_embedding_pq,
     "op4_simhash_neardup": op4_simhash_neardup,
+    "op8_language_id": op8_language_id,
+    "op9_quality_gam": op9_quality_gam,
 }
 
 ORACLE_SQL: dict[str, str] = {}
