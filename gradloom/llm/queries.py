@@ -7,18 +7,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_pq, langid, quality, sentencepiece, simhash
+from . import decontaminate, embedding_pq, html_main, langid, quality, sentencepiece, simhash, token_counts, toxicity
 from ._common import table
 
 #: The folder of the public tokenizers' files, on every machine.
 TOKENIZERS = os.environ.get("GRADLOOM_TOKENIZERS", "/opt/tokenizers")
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_table(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_pq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -27,6 +32,14 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), RANKS)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_folds(table(spark, sf_dir, "documents"))
 
@@ -35,12 +48,20 @@ def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_folds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_folds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_decontamination": op2_decontamination,
     "op3_embedding_pq": op3_embedding_pq,
     "op4_simhash_neardup": op4_simhash_neardup,
+    "op6_html_main_text": op6_html_main_text,
+    "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op9_quality_gam": op9_quality_gam,
+    "op10_toxicity_zstd": op10_toxicity_zstd,
 }
 
 ORACLE_SQL: dict[str, str] = {}
