@@ -14,10 +14,10 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold_of, materialize
+from ._common import fold_of
 
 FEATURES = (
     "log_words", "word_length", "upper", "symbols", "digits", "spaces", "pipes", "distinct_words", "adjacent_repeats", "top_word",
@@ -206,39 +206,40 @@ def fit_model(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int
     return model
 
 
-def fit(feats: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 5, held_out: int = 0, fit_rows: int = FIT_ROWS) -> AdditiveModel:
-    """Tables fitted to about ``fit_rows`` labelled rows outside the held-out fold, drawn by a hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 5, held_out: int = 0, fit_rows: int = FIT_ROWS) -> AdditiveModel:
+    """Tables fitted to about ``fit_rows`` labelled rows of ``docs`` outside the held-out fold, drawn by a hash of doc_id.
 
-    ``feats`` is (id, x).  Rows without doc_id or label are no training rows; a doc_id labelled twice counts twice.
+    The ids drawn are few enough to be sent to every task.  Rows without doc_id or label are no training rows; a doc_id labelled twice counts twice.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & (fold_of("id", modulus) != held_out))
     n = known.count()
     draw = F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(1 << 30)) / (1 << 30)
-    rows = feats.join(known.where(draw < min(1.0, fit_rows / max(n, 1))), "id").select("id", "x", "y").toPandas()
-    rows = rows.sort_values(["id", "y"], kind="stable")
+    drawn = known.where(draw < min(1.0, fit_rows / max(n, 1)))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    sample = texts.join(F.broadcast(drawn.select("id").distinct()), "id", "left_semi")
+    rows = feature_table(sample, "id").join(F.broadcast(drawn), "id").select("id", "x", "y").toPandas()
     x = np.array(rows["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
-    return fit_model(x, rows["y"].to_numpy(np.float64))
+    order = np.lexsort((*x.T, rows["y"].to_numpy(), rows["id"].to_numpy()))
+    return fit_model(x[order], rows["y"].to_numpy(np.float64)[order])
 
 
-def score_table(feats: DataFrame, model: AdditiveModel) -> DataFrame:
-    """(id, score) of (id, x)."""
+def scores(model: AdditiveModel, text: Column) -> Column:
+    """Score of each text, from its features."""
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def score(texts):
         import pandas as pd
 
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "score": model.score(np.array(b["x"].tolist(), np.float32).reshape(-1, len(FEATURES)))})
+        return pd.Series(model.score(np.array([features(t) for t in texts], np.float32).reshape(-1, len(FEATURES))))
 
-    return feats.mapInPandas(run, f"id {feats.schema['id'].dataType.simpleString()}, score double")
+    return score(text)
 
 
 def score_folds(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``docs``.
 
     Held out are rows whose crc32(doc_id) mod 5 is 0.  Null and empty texts have
-    the score of their zero features; rows without doc_id are scored too and not
-    held out.  One pass over the texts writes their features, from which both the fit and the scores come.
+    the score of their zero features; rows without doc_id are scored too and not held out.  An empty table gives an empty result.
     """
-    feats = materialize(feature_table(docs), "quality")
-    done = score_table(feats, fit(feats, labels))
-    return done.select(F.col("id").alias("doc_id"), (F.coalesce(fold_of("id", 5), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    done = docs.select("doc_id", scores(fit(docs, labels), F.col("text")).alias("score"))
+    return done.select("doc_id", (F.coalesce(fold_of("doc_id", 5), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
