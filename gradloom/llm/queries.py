@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_pq, html_main, langid, quality, sentencepiece, simhash, token_counts, toxicity
+from . import decontaminate, embedding_pq, html_main, langid, ngram_lm, quality, sentencepiece, simhash, token_counts, toxicity
 from ._common import table
 
 #: The folder of the public tokenizers' files, on every machine.
@@ -32,6 +32,10 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_folds(table(spark, sf_dir, "documents"))
+
+
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_embedding_pq": op3_embedding_pq,
     "op4_simhash_neardup": op4_simhash_neardup,
+    "op5_ngram_lm": op5_ngram_lm,
     "op6_html_main_text": op6_html_main_text,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
