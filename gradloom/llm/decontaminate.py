@@ -36,13 +36,16 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = np.array([0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333], np.uint64)
 
 
+#: Distinct raw tokens that a worker remembers at once.
+MEMO = 1 << 19
+
+
 class _Vocabulary(dict):
-    """Number of a raw token; beside it the token's kind and hash.  Starts over when it has grown large."""
+    """Number of a raw token; beside it the token's kind and hash."""
 
     def __init__(self):
-        self.kinds: list[int] = []
-        self.hashes: list[int] = []
-        self.low: list[str] = []
+        self.kinds = np.zeros(MEMO + 64, np.int8)
+        self.hashes = np.zeros(MEMO + 64, np.uint64)
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -56,49 +59,57 @@ class _Vocabulary(dict):
             kind = NAME
         else:
             kind = LITERAL
-        self.kinds.append(kind)
-        self.hashes.append(xxhash.xxh64_intdigest(low))
-        self.low.append(low)
-        at = self[token] = len(self.kinds) - 1
+        at = len(self)
+        if at >= len(self.kinds):
+            self.kinds = np.concatenate((self.kinds, np.zeros_like(self.kinds)))
+            self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
+        self.kinds[at], self.hashes[at] = kind, xxhash.xxh64_intdigest(low)
+        self[token] = at
         return at
 
 
 _words = _Vocabulary()
 
 
+def _parse(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(code of each template token, whether it is a slot, all raw tokens, the template's places among them)."""
+    global _words
+    if len(_words) > MEMO:
+        _words = _Vocabulary()
+    raw = _TOKEN.findall(text) if text else []
+    at = np.fromiter(map(_words.__getitem__, raw), np.int64, len(raw))
+    kinds = _words.kinds[at]
+    stop = kinds == STOP
+    before = np.concatenate(([STOP], kinds[:-1]))
+    kinds[(kinds == NAME) & (before == STOP) | (kinds == UNIT) & (before != NUMBER)] = LITERAL
+    places = np.flatnonzero(~stop)
+    kinds = kinds[places]
+    slot = kinds != LITERAL
+    codes = _words.hashes[at[places]]
+    codes[slot] = _MARKS[kinds[slot]]
+    return codes, slot, raw, places
+
+
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(code of each template token, whether it is a slot, its lower-case text).
 
     A unit counts only after a number, a name only inside a sentence.
     """
-    global _words
-    if len(_words) > 500_000:
-        _words = _Vocabulary()
-    words = _words
-    at = [words[t] for t in _TOKEN.findall(text or "")]
-    if not at:
-        return np.empty(0, np.uint64), np.empty(0, bool), []
-    kinds = np.array([words.kinds[i] for i in at], np.int8)
-    hashes = np.array([words.hashes[i] for i in at], np.uint64)
-    before = np.concatenate(([STOP], kinds[:-1]))
-    kinds[(kinds == UNIT) & (before != NUMBER)] = LITERAL
-    kinds[(kinds == NAME) & (before == STOP)] = LITERAL
-    keep = kinds != STOP
-    kinds, hashes = kinds[keep], hashes[keep]
-    slot = kinds != LITERAL
-    return np.where(slot, _MARKS[np.minimum(kinds, NAME)], hashes), slot, [words.low[i] for i, k in zip(at, keep) if k]
+    codes, slot, raw, places = _parse(text)
+    return codes, slot, [raw[i].lower() for i in places]
 
 
 def window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
     """One hash for each window of ``n`` codes."""
     if len(codes) < n:
         return np.empty(0, np.uint64)
-    h = np.zeros(len(codes) - n + 1, np.uint64)
+    size = len(codes) - n + 1
     with np.errstate(over="ignore"):
-        for i in range(n):
-            h = (h ^ codes[i : len(codes) - n + 1 + i]) * _MULTIPLY
-            h ^= h >> np.uint64(29)
-    return h
+        h = codes[:size] * _MULTIPLY
+        for i in range(1, n):
+            h += codes[i : size + i]
+            h *= _MULTIPLY
+        return h ^ (h >> np.uint64(29))
 
 
 class Index:
@@ -129,7 +140,7 @@ class Index:
 
     def hits(self, text: str | None) -> list[tuple[int, float, int, bool]]:
         """(item id, share of its windows found, longest run of tokens, whether every slot has its own value) of each item in ``text``."""
-        codes, slot, low = template(text)
+        codes, slot, raw, places = _parse(text)
         chains: dict[tuple[int, int], set[int]] = defaultdict(set)
         width: dict[int, int] = {}
         for n, where in self.where.items():
@@ -152,7 +163,7 @@ class Index:
                     covered += range(a, b)
             for i in covered:
                 if item_slot[i]:
-                    a, b = item_low[i], low[i + shift]
+                    a, b = item_low[i], raw[places[i + shift]].lower()
                     same &= a == b
                     ok &= maps.setdefault(a, b) == b and back.setdefault(b, a) == a
             if not ok:
