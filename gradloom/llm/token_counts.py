@@ -135,4 +135,5 @@ def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     folder = new_path(spark, "tokens")
     written = materialize(write_flat(docs, folder, ranks_path, id_col, text_col), "token-files")
     counts = scan(spark, folder, written.select("file", "n_bytes").distinct())
-    return written.join(counts, ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
+    # no broadcast: both sides grow with the input, however well they compress
+    return written.join(counts.hint("merge"), ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
