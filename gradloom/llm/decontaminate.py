@@ -37,7 +37,7 @@ _MARKS = np.array([0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333
 
 
 #: Distinct raw tokens that a worker remembers at once.
-MEMO = 1 << 19
+MEMO = 1 << 18
 
 
 class _Vocabulary(dict):

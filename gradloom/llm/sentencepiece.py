@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Segments whose paths a worker remembers, and the longest segment remembered.
-MEMO, MEMO_CHARS = 250_000, 64
+MEMO, MEMO_CHARS = 120_000, 64
 
 
 def _fields(data: bytes):
