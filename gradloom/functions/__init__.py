@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Column functions over vectors, hashes and statistics."""
