@@ -1,7 +1,7 @@
 """Products of inverse curvature matrices with vectors.
 
-A curvature operator is a function of the data that maps a driver-side vector of
-the model's size to another, one distributed sum each; the iterations run on the driver.
+A curvature operator is a function of the data that maps driver-side vectors of
+the model's size, one a row, to others by one distributed sum for all of them; the iterations run on the driver.
 """
 
 from __future__ import annotations
@@ -24,14 +24,17 @@ def hvp(task: SoftmaxTask, df: DataFrame, checkpoint: int = 0, regularization: f
     rows = task.rows(df)
 
     def product(v: np.ndarray) -> np.ndarray:
-        m = np.asarray(v).reshape(w.shape)
+        vectors = np.atleast_2d(v)
 
         def part(c):
-            p, u = softmax_rows(c[0] @ w.T), c[0] @ m.T
-            return np.append(((p * u - p * (p * u).sum(axis=1, keepdims=True)).T @ c[0]).ravel(), len(c[0]))
+            p, out = softmax_rows(c[0] @ w.T), []
+            for m in vectors:
+                u = c[0] @ m.reshape(w.shape).T
+                out.append(((p * u - p * (p * u).sum(axis=1, keepdims=True)).T @ c[0]).ravel())
+            return np.append(np.concatenate(out), len(c[0]))
 
-        out = partial_matrix(rows, ["x"], part, (w.size + 1,))
-        return out[:-1] / (max(out[-1], 1) if mean else 1) + regularization * m.ravel()
+        out = partial_matrix(rows, ["x"], part, (vectors.size + 1,))
+        return (out[:-1].reshape(vectors.shape) / (max(out[-1], 1) if mean else 1) + regularization * vectors).reshape(np.shape(v))
 
     return product
 
@@ -57,12 +60,18 @@ def gram_product(table: DataFrame, column: str, width: int, regularization: floa
     """Product with the Fisher matrix (mean outer product of a column's vectors), never built."""
 
     def product(v: np.ndarray) -> np.ndarray:
-        out = partial_matrix(table, [column], lambda c: np.append(c[0].T @ (c[0] @ v), len(c[0])), (width + 1,))
-        return out[:-1] / max(out[-1], 1) + regularization * v
+        vectors = np.atleast_2d(v)
+        out = partial_matrix(table, [column], lambda c: np.append((vectors @ c[0].T) @ c[0], len(c[0])), (vectors.size + 1,))
+        return (out[:-1].reshape(vectors.shape) / max(out[-1], 1) + regularization * vectors).reshape(np.shape(v))
 
     return product
 
 
+def matrix_product(matrix: np.ndarray) -> Product:
+    """Product with a matrix that is small enough to be held: no pass over the data."""
+    return lambda v: v @ matrix.T
+
+
 def solve(matrix: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Explicit solve of each row of ``v``."""
     return np.linalg.solve(matrix, np.atleast_2d(v).T).T
@@ -75,19 +84,21 @@ def fisher(table: DataFrame, column: str, width: int, regularization: float = 0.
 
 
 def conjugate_gradient(product: Product, v: np.ndarray, max_iter: int = 10) -> np.ndarray:
-    """A fixed number of steps from v; stops early only where the residual is exactly zero."""
-    x = v.astype(float).copy()
-    r = v - product(x)
+    """A fixed number of steps from v for each row of v together; a row whose residual is exactly zero stays as it is."""
+    rows = np.atleast_2d(v).astype(float)
+    x = rows.copy()
+    r = rows - product(x)
     d = r.copy()
     for _ in range(max_iter):
-        rr = r @ r
-        if rr == 0:
+        rr = (r * r).sum(axis=1)
+        if not rr.any():
             break
         q = product(d)
-        a = rr / (d @ q)
+        dq = (d * q).sum(axis=1)
+        a = np.divide(rr, dq, out=np.zeros_like(rr), where=dq != 0)[:, None]
         x, r = x + a * d, r - a * q
-        d = r + (r @ r) / rr * d
-    return x
+        d = r + np.divide((r * r).sum(axis=1), rr, out=np.zeros_like(rr), where=rr != 0)[:, None] * d
+    return x.reshape(np.shape(v))
 
 
 def lissa(products: Callable[[int, int], Product], v: np.ndarray, repeats: int = 1, depth: int = 100, damping: float = 0.0, scaling: float = 50.0) -> np.ndarray:

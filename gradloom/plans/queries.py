@@ -145,7 +145,7 @@ def _fisher_query(name: str, kind: str, value: str = _IF, relatif: str | None =
 
 _fisher_query("if_explicit", "explicit")
 _fisher_query("if_conjugate_gradient", "cg", max_iter=10)
-_fisher_query("if_lissa", "lissa", depth=600, scaling=20.0)
+_fisher_query("if_lissa", "lissa", depth=4000, scaling=20.0)
 _fisher_query("if_arnoldi", "arnoldi", max_iter=2, top_k=2)
 _H0, _H1 = "(ia * a.g0 + ib * a.g1)", "(ib * a.g0 + id * a.g1)"
 _fisher_query("relatif_l", "explicit", f"{_IF} / sqrt(greatest(a.g0 * {_H0} + a.g1 * {_H1}, 1e-12))", "l")
@@ -442,14 +442,14 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register(
     "token_blocks",
-    f"WITH s AS ({_TOKENS}), b AS (SELECT id, tokens, unnest(range(0, len(tokens), 8)) AS at FROM s) SELECT id, (at / 8)::INT AS block, array_to_string(list_resize(tokens[at + 1 : at + 8], 8, 0), ' ') AS x, array_to_string(list_resize(tokens[at + 2 : at + 9], 8, 0), ' ') AS y FROM b",
+    f"WITH s AS ({_TOKENS}), b AS (SELECT id, tokens, unnest(range(0, len(tokens), 8)) AS o FROM s) SELECT id, (o // 8)::INT AS block, array_to_string(list_resize(tokens[o + 1 : o + 8], 8, 0), ' ') AS x, array_to_string(list_resize(tokens[o + 2 : o + 9], 8, 0), ' ') AS y FROM b",
 )
 def token_blocks(spark: SparkSession, sf: str) -> DataFrame:
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
     return sequences.blocks(_turn_tokens(spark, sf), 8).select("id", "block", join("x"), join("y"))
 
 
-@_register("sliding_windows", f"WITH s AS ({_TOKENS}), b AS (SELECT id, tokens, unnest(range(0, len(tokens) - 7, 4)) AS at FROM s WHERE len(tokens) >= 8) SELECT id, at::INT AS at, array_to_string(tokens[at + 1 : at + 8], ' ') AS x FROM b")
+@_register("sliding_windows", f"WITH s AS ({_TOKENS}), b AS (SELECT id, tokens, unnest(range(0, len(tokens) - 7, 4)) AS o FROM s WHERE len(tokens) >= 8) SELECT id, o::INT AS "at", array_to_string(tokens[o + 1 : o + 8], ' ') AS x FROM b")
 def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.sliding_windows(_turn_tokens(spark, sf), 8, 4).select("id", "at", F.array_join(F.col("x").cast("array<string>"), " ").alias("x"))
 
