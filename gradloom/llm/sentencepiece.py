@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Segments whose paths a worker remembers, and the longest segment remembered.
-MEMO, MEMO_CHARS = 120_000, 64
+MEMO, MEMO_CHARS = 180_000, 64
 
 
 def _fields(data: bytes):
@@ -295,11 +295,12 @@ class Transducer:
         path = self.memo.old(text)
         if path is None:
             beside, parts, a = self.beside, self.parts, 0
+            cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in beside]
             out: tuple[int, ...] = ()
-            for b in [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in beside] + [len(text)]:
+            for b in [*cuts, len(text)]:
                 part = text[a:b]
-                found = parts.get(part) or parts.old(part)
-                out += parts.keep(part, self._path(part)) if found is None else found
+                found = (parts.get(part) or parts.old(part)) if cuts else None  # a whole segment is kept once
+                out += (parts.keep(part, self._path(part)) if cuts else self._path(part)) if found is None else found
                 a = b
             path = self.memo.keep(text, out)
         return path
