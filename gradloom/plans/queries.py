@@ -449,7 +449,7 @@ def token_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.blocks(_turn_tokens(spark, sf), 8).select("id", "block", join("x"), join("y"))
 
 
-@_register("sliding_windows", f"WITH s AS ({_TOKENS}), b AS (SELECT id, tokens, unnest(range(0, len(tokens) - 7, 4)) AS o FROM s WHERE len(tokens) >= 8) SELECT id, o::INT AS "at", array_to_string(tokens[o + 1 : o + 8], ' ') AS x FROM b")
+@_register("sliding_windows", f"WITH s AS ({_TOKENS}), b AS (SELECT id, tokens, unnest(range(0, len(tokens) - 7, 4)) AS o FROM s WHERE len(tokens) >= 8) SELECT id, o::INT AS \"at\", array_to_string(tokens[o + 1 : o + 8], ' ') AS x FROM b")
 def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.sliding_windows(_turn_tokens(spark, sf), 8, 4).select("id", "at", F.array_join(F.col("x").cast("array<string>"), " ").alias("x"))
 
