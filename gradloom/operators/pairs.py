@@ -79,14 +79,30 @@ def self_scores(table: DataFrame, columns: list[str], id_col: str = "id") -> Dat
     return table.select(F.col(id_col).alias("train_id"), out.alias("score"))
 
 
-def apply_matrix(table: DataFrame, column: str, m: np.ndarray) -> DataFrame:
-    """``table`` with each vector v of ``column`` replaced by m v."""
+def map_vectors(table: DataFrame, column: str, f: Callable[[np.ndarray], np.ndarray], out: str | None = None) -> DataFrame:
+    """``table`` with ``out`` (by default ``column``) the vectors that ``f`` makes of a batch of the column's vectors.
+
+    A mapped partition and not a column expression, so that the result may be used within higher-order functions.
+    """
+    from pyspark.sql import types as T
+
+    out = out or column
+    fields = [f_ for f_ in table.schema.fields if f_.name != out]
+    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                b = b.copy()
+                b[out] = list(f(matrix(b[column])))
+                yield b[schema.names]
 
-    @F.pandas_udf("array<double>")
-    def times(v: pd.Series) -> pd.Series:
-        return pd.Series(list(matrix(v) @ m.T)) if len(v) else pd.Series([], dtype=object)
+    return table.mapInPandas(run, schema)
 
-    return table.withColumn(column, times(F.col(column).cast("array<double>")))
+
+def apply_matrix(table: DataFrame, column: str, m: np.ndarray) -> DataFrame:
+    """``table`` with each vector v of ``column`` replaced by m v."""
+    return map_vectors(table, column, lambda v: v @ m.T)
 
 
 def partial_matrix(table: DataFrame, columns: list[str], part: Callable[[list[np.ndarray]], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:

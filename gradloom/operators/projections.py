@@ -102,11 +102,7 @@ class Projector:
 def project_column(table: DataFrame, column: str, projector: Projector, out: str | None = None) -> DataFrame:
     """``table`` with a projected vector column, in Arrow batches."""
 
-    @F.pandas_udf("array<double>")
-    def run(v: pd.Series) -> pd.Series:
-        return pd.Series(list(projector.project(pairs.matrix(v)))) if len(v) else pd.Series([], dtype=object)
-
-    return table.withColumn(out or column, run(F.col(column).cast("array<double>")))
+    return pairs.map_vectors(table, column, projector.project, out)
 
 
 @dataclass(frozen=True)

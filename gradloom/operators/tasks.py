@@ -64,26 +64,30 @@ class SoftmaxTask:
             out.append(out[-1] - rate * (g / max(n, 1) + l2 * out[-1]))
         return SoftmaxTask(self.classes, self.features, out, self.x_col, self.y_col, self.id_col)
 
-    def reps(self, df: DataFrame, checkpoint: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    def reps(self, df: DataFrame, checkpoint: int = 0) -> DataFrame:
         """(id, e, x): loss gradient with respect to the logits, and the input; the gradient is e x^T."""
         w = self.checkpoints[checkpoint]
 
-        @F.pandas_udf("array<double>")
-        def error(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series(list(softmax_rows(matrix(x) @ w.T) - np.eye(len(w))[y])) if len(x) else pd.Series([], dtype=object)
+        def run(batches):
+            for b in batches:
+                if len(b):
+                    e = softmax_rows(matrix(b["x"]) @ w.T) - np.eye(len(w))[b["y"].to_numpy()]
+                    yield pd.DataFrame({"id": b["id"], "e": list(e), "x": b["x"]})
 
         rows = self.rows(df)
-        return rows.select("id", error("x", "y").alias("e"), "x", *keep)
+        return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, e array<double>, x array<double>")
 
     def probabilities(self, df: DataFrame, checkpoint: int = 0) -> DataFrame:
         """(id, y, p): class probabilities."""
         w = self.checkpoints[checkpoint]
 
-        @F.pandas_udf("array<double>")
-        def prob(x: pd.Series) -> pd.Series:
-            return pd.Series(list(softmax_rows(matrix(x) @ w.T))) if len(x) else pd.Series([], dtype=object)
+        def run(batches):
+            for b in batches:
+                if len(b):
+                    yield pd.DataFrame({"id": b["id"], "y": b["y"], "p": list(softmax_rows(matrix(b["x"]) @ w.T))})
 
-        return self.rows(df).select("id", "y", prob("x").alias("p"))
+        rows = self.rows(df)
+        return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, y int, p array<double>")
 
     def losses(self, df: DataFrame, checkpoint: int = 0) -> DataFrame:
         """(id, loss): cross entropy of each row."""
