@@ -16,28 +16,35 @@ def refit(task: SoftmaxTask, train: DataFrame, l2: float = 0.003, max_iter: int
     rows = task.rows(train)
     w = task.checkpoints[0].copy()
 
-    def value(m, with_gradient):
+    def losses(z, y):
+        top = z.max(axis=1, keepdims=True)
+        return (np.log(np.exp(z - top).sum(axis=1)) + top[:, 0] - z[np.arange(len(z)), y]).sum()
+
+    def at(m):
         def part(c):
             z = c[0] @ m.T
-            top = z.max(axis=1, keepdims=True)
-            loss = (np.log(np.exp(z - top).sum(axis=1)) + top[:, 0] - z[np.arange(len(z)), c[1]]).sum()
-            g = (softmax_rows(z) - np.eye(len(m))[c[1]]).T @ c[0] if with_gradient else np.zeros_like(m)
-            return np.concatenate((g.ravel(), [loss, len(z)]))
+            g = (softmax_rows(z) - np.eye(len(m))[c[1]]).T @ c[0]
+            return np.concatenate((g.ravel(), [losses(z, c[1]), len(z)]))
 
         out = pairs.partial_matrix(rows, ["x", "y"], part, (m.size + 2,))
         n = max(out[-1], 1)
-        return out[-2] / n + l2 * (m**2).sum(), out[:-2].reshape(m.shape) / n + 2 * l2 * m
+        return out[-2] / n + l2 * (m**2).sum(), out[:-2].reshape(m.shape) / n + 2 * l2 * m, n
 
-    loss, g = value(w, True)
+    steps = 10.0 * 0.5 ** np.arange(37)  # down to 1e-10
+    loss, g, n = at(w)
     for _ in range(max_iter):
-        size = (g**2).sum()
         if np.abs(g).mean() < tol:
             break
-        t = 10.0
-        while t > 1e-10 and value(w - t * g, False)[0] > loss - t * size / 2:
-            t /= 2
-        w = w - t * g
-        loss, g = value(w, True)
+
+        def tried(c, w=w, g=g):  # every step of the line search in one pass
+            return [losses(c[0] @ (w - t * g).T, c[1]) for t in steps]
+
+        values = pairs.partial_matrix(rows, ["x", "y"], tried, (len(steps),)) / n + np.array([l2 * ((w - t * g) ** 2).sum() for t in steps])
+        ok = np.flatnonzero(values <= loss - steps * (g**2).sum() / 2)
+        if not len(ok):
+            break
+        w = w - steps[ok[0]] * g
+        loss, g, n = at(w)
     return w
 
 

@@ -182,11 +182,11 @@ def test_trak(data, task):
 def test_representer_points_sum_to_logits(data):
     df, x, y = data
     task = SoftmaxTask(C, D)
-    theta = representer.refit(task, df, 0.05, 400, 1e-9)
+    theta = representer.refit(task, df, 0.5, 40, 1e-7)
     for k in range(C):
         test = df.withColumn("label", F.lit(k))
-        got = matrix(representer.representer_points(task, df, test, theta, 0.05))
-        assert np.allclose(got.sum(axis=0), x @ theta[k], atol=1e-4)
+        got = matrix(representer.representer_points(task, df, test, theta, 0.5))
+        assert np.allclose(got.sum(axis=0), x @ theta[k], atol=1e-3)
 
 
 def test_trajectory(spark):
