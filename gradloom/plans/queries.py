@@ -525,3 +525,31 @@ def token_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """How often a word is as long as the one before it, one-letter words aside."""
     df = _turn_tokens(spark, sf).where(F.size("tokens") > 1).select(F.expr("slice(tokens, 1, size(tokens) - 1)").alias("p"), F.expr("slice(tokens, 2, size(tokens) - 1)").alias("t"))
     return _round(metrics.token_accuracy(df, "p", "t", 1), 6, "accuracy")
+
+
+@_register("hash_batches", "SELECT vec_id AS id, floor(('0x' || substr(md5('6:' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 8)::INT AS batch FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND label IS NOT NULL")
+def hash_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.hash_batches(_emb(spark, sf).select(F.col("vec_id").alias("id")), 8, 6).select("id", "batch")
+
+
+@_register("trak_dropout")
+def trak_dropout(spark: SparkSession, sf: str) -> DataFrame:
+    """TRAK over an ensemble of three dropout masks of one checkpoint."""
+    df = _emb(spark, sf)
+    task = _task(df)
+    views = [df.withColumn("embedding", V.dropout("embedding", 0.1, F.lit(m), F.lit("mask"))) for m in range(3)]
+    tables = [_compressed(v, task) for v in views]
+    out = trak.trak(tables, [t.where("id % 50 = 0") for t in tables], [task.correct_probability(v) for v in views], 2, 0.01)
+    return _round(out.withColumn("score", F.col("score") * 1000))
+
+
+@_register(
+    "subset_retraining",
+    f"WITH {_T}, mem AS (SELECT s::INT AS subset_id, label, x[1 : len(x) - 1] AS x FROM t, range(0, 10) z(s) WHERE {_SUB}), ce AS (SELECT subset_id, label, unnest(x) AS v, unnest(range(0, len(x))) AS f FROM mem), cm AS (SELECT subset_id, label, f, avg(v) AS v FROM ce GROUP BY ALL) SELECT subset_id, label AS y, round(sqrt(sum(v * v)), 6) AS norm FROM cm GROUP BY ALL",
+)
+def subset_retraining(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest-centroid model of each of ten half subsets: one row for each subset and class, with its centre's norm."""
+    df = _emb(spark, sf)
+    rows = df.select("vec_id", V.vector("embedding").alias("x"), F.col("label").alias("y"))
+    centres = retrain.class_centroids(rows, retrain.subset_members(rows, 10, 0.5, 3, id_col="vec_id"), id_col="vec_id")
+    return centres.select("subset_id", "y", F.round(V.norm("centre"), 6).alias("norm"))

@@ -26,27 +26,36 @@ def select_ids(df: DataFrame, ids: DataFrame, id_col: str = "id", order: bool =
     return df.join(ids, id_col).orderBy("pos") if order else df.join(ids, id_col, "left_semi")
 
 
-def flip_labels(df: DataFrame, p: float, classes: int, seed: int = 0, label: str = "label", id_col: str = "id") -> DataFrame:
-    """``df`` with columns flipped and new_label: exactly int(p n) rows, those of the smallest hashes, get another label each.
+def smallest_hashes(df: DataFrame, want: int, h: str, id_col: str):
+    """Condition that holds for the ``want`` rows of smallest 32-bit hash ``h``, equal hashes by id.
 
-    The cut is found from counts of hash buckets, so the table is never sorted whole.
+    The cut is found from counts of hash prefixes, at most 4096 of them a pass; only rows of one single hash are ever collected.
     """
+    low, left = 0, want
+    if want <= 0:
+        return F.lit(False)
+    for shift, size in ((20, 4096), (8, 4096), (0, 256)):
+        inside = df.where((F.col(h) >= low) & (F.col(h) < low + (size << shift)))
+        for b, n in sorted(inside.groupBy(F.shiftright(F.col(h) - low, shift).alias("b")).count().collect()):
+            if n > left:
+                low += b << shift
+                break
+            left -= n
+        else:
+            return F.col(h) < low + (size << shift)
+    last = [r[0] for r in df.where(F.col(h) == low).select(id_col).orderBy(id_col).limit(left).collect()]
+    here = F.col(h) < low
+    return here | ((F.col(h) == low) & (F.col(id_col) <= last[-1])) if last else here
+
+
+def flip_labels(df: DataFrame, p: float, classes: int, seed: int = 0, label: str = "label", id_col: str = "id") -> DataFrame:
+    """``df`` with columns flipped and new_label: exactly int(p n) rows, those of the smallest hashes, get another label each."""
     h = df.withColumn("_h", V.hash32(F.lit(seed), id_col))
-    want = int(p * df.count())
-    upto, cut, before = 0, None, 0
-    for b, n in sorted(h.groupBy(F.floor(F.col("_h") / (1 << 20)).alias("b")).count().collect()):  # at most 4096 buckets
-        if upto + n > want:
-            cut, before = b, upto
-            break
-        upto += n
-    if cut is None:
-        chosen = F.lit(True)
-    else:
-        inside = h.where(F.floor(F.col("_h") / (1 << 20)) == cut).select("_h", id_col).orderBy("_h", id_col).limit(want - before)
-        last = [tuple(r) for r in inside.collect()]
-        edge = last[-1] if last else None
-        chosen = F.floor(F.col("_h") / (1 << 20)) < cut
-        if edge:
-            chosen = chosen | (F.col("_h") < edge[0]) | ((F.col("_h") == edge[0]) & (F.col(id_col) <= edge[1]))
+    chosen = smallest_hashes(h, int(p * df.count()), "_h", id_col)
     other = F.pmod(F.col(label) + 1 + F.pmod(V.hash32(F.lit(seed), F.lit("to"), id_col), F.lit(classes - 1)), F.lit(classes)).cast(df.schema[label].dataType)
     return h.withColumn("flipped", chosen).withColumn("new_label", F.when(F.col("flipped"), other).otherwise(F.col(label))).drop("_h")
+
+
+def hash_batches(df: DataFrame, batches: int, seed: int = 0, id_col: str = "id") -> DataFrame:
+    """``df`` with a batch number from 0 on, by a reproducible shuffle of the ids."""
+    return df.withColumn("batch", F.floor(V.uniform(F.lit(seed), id_col) * batches).cast("int"))
