@@ -244,3 +244,17 @@ def test_projections_keep_products(kind):
     assert y.shape == (6, p.out_dim) and np.allclose(y, p.project(x[:, :80]) + p.project(x[:, 80:], 80))
     if kind in ("normal", "rademacher", "sjlt"):
         assert np.allclose((y**2).sum(axis=1) / (x**2).sum(axis=1), 1, atol=0.6)
+
+
+def test_factgrass_is_mask_then_hash():
+    r = np.random.default_rng(6)
+    b, a = r.normal(size=(5, 10)), r.normal(size=(5, 12))
+    c = projections.factgrass(10, 12, 4, 4, 3)
+    got = c.compress(b, a)
+    kept = np.einsum("ik,id->ikd", b[:, c.left.index], a[:, c.right.index]).reshape(5, -1)
+    want = np.zeros((5, 4))
+    for j in range(kept.shape[1]):
+        want[:, c.second.bucket[j]] += c.second.sign[j] * kept[:, j]
+    assert got.shape == (5, 4) and np.allclose(got, want)
+    with pytest.raises(ValueError):
+        projections.factgrass(10, 12, 3, 4)
