@@ -5,9 +5,8 @@ window of a document; a window counts by how many bytes shorter the toxic one
 makes it.  Words are coded in eight bytes each and the shortest match is seven
 bytes, so that only whole words match (parts of words are alike in both kinds of text).
 Both dictionaries end with the words that are common in ordinary text; before
-them the toxic one holds the words whose document frequency is significantly
-higher in toxic documents (likelihood ratio), the ordinary one as much ordinary
-text.  Window gains, summed and divided by a document's length, are calibrated
+them the toxic one holds the words that are used significantly more in toxic
+documents (likelihood ratio), the ordinary one as much ordinary text.  Window gains, summed and divided by a document's length, are calibrated
 by isotonic regression on labelled rows that the dictionaries weren't made of.
 """
 
@@ -19,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold_of
+from ._common import fold_of, materialize
 
 #: Words of a window; half of the labelled rows of each class that are used, about; words in a dictionary; threshold.
 WINDOW, FIT_ROWS, WORDS, THRESHOLD = 16, 6000, 1024, 0.7
@@ -105,20 +104,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: i
     drawn = known.where(draw(10) < share).select("doc_id", "y", (draw(11) < 0.7).alias("made"))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
-    def count(batches):
+    def uses(batches):
         import pandas as pd
 
         for b in batches:
-            seen: dict[str, list[int]] = {}
+            seen = set()
             for text, y in zip(b["text"], b["y"]):
-                for w in set(words(text)):
-                    seen.setdefault(w, [0, 0])[y] += 1
-            yield pd.DataFrame({"w": list(seen), "o": [v[0] for v in seen.values()], "t": [v[1] for v in seen.values()]})
+                w = words(text)
+                before = [0, *(xxhash.xxh64_intdigest(x) >> 1 for x in w)]
+                seen.update(zip(w, before, [y] * len(w)))
+            yield pd.DataFrame(list(seen), columns=["w", "p", "y"])
 
+    # a word counts once for each word that it follows, so that copies of a text add nothing
     made = rows.where("made").select("text", "y")
-    n = dict(made.groupBy("y").count().collect())
-    no, nt = n.get(0, 0), n.get(1, 0)
-    counts = made.mapInPandas(count, "w string, o long, t long").groupBy("w").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+    each = made.mapInPandas(uses, "w string, p long, y int").groupBy("w", "p").agg(F.max(1 - F.col("y")).alias("o"), F.max("y").alias("t"))
+    counts = materialize(each.groupBy("w").agg(F.sum("o").alias("o"), F.sum("t").alias("t")), "toxic-words")
+    no, nt = (x or 0 for x in counts.agg(F.sum("o"), F.sum("t")).first())
     both = F.col("o") + F.col("t")
     part = lambda k, m: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (both * m / max(1, no + nt)))).otherwise(0.0)
     rate = (F.col("t") + 0.5) / (nt + 1) / ((F.col("o") + 0.5) / (no + 1))
