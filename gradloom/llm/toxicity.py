@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold_of, materialize
+from ._common import fold_of
 
 #: Words of a window; half of the labelled rows of each class that are used, about; words in a dictionary; threshold.
 WINDOW, FIT_ROWS, WORDS, THRESHOLD = 16, 6000, 1024, 0.7
@@ -108,18 +108,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: i
         import pandas as pd
 
         for b in batches:
-            seen = set()
+            seen: dict[tuple[str, int, int], int] = {}
             for text, y in zip(b["text"], b["y"]):
                 w = words(text)
-                before = [0, *(xxhash.xxh64_intdigest(x) >> 1 for x in w)]
-                seen.update(zip(w, before, [y] * len(w)))
-            yield pd.DataFrame(list(seen), columns=["w", "p", "y"])
+                for x in set(w):
+                    seen[x, -1, y] = seen.get((x, -1, y), 0) + 1
+                seen.update(dict.fromkeys(zip(w, [0, *(xxhash.xxh64_intdigest(x) >> 1 for x in w)], [y] * len(w)), 1))
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["w", "p", "y", "n"])
 
-    # a word counts once for each word that it follows, so that copies of a text add nothing
+    # a word's count is that of its documents or of the words it follows, if they are fewer, so that neither copies nor one long text count much
     made = rows.where("made").select("text", "y")
-    each = made.mapInPandas(uses, "w string, p long, y int").groupBy("w", "p").agg(F.max(1 - F.col("y")).alias("o"), F.max("y").alias("t"))
-    counts = materialize(each.groupBy("w").agg(F.sum("o").alias("o"), F.sum("t").alias("t")), "toxic-words")
-    no, nt = (x or 0 for x in counts.agg(F.sum("o"), F.sum("t")).first())
+    sizes_made = dict(made.groupBy("y").count().collect())
+    no, nt = sizes_made.get(0, 0), sizes_made.get(1, 0)
+    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    each = made.mapInPandas(uses, "w string, p long, y int, n long").groupBy("w", "p").agg(of(0).alias("o"), of(1).alias("t"))
+    least = lambda k: F.least(F.sum(F.when(F.col("p") < 0, F.col(k)).otherwise(0)), F.sum(F.when(F.col("p") >= 0, F.least(F.col(k), F.lit(1))).otherwise(0)))
+    counts = each.groupBy("w").agg(least("o").alias("o"), least("t").alias("t"))
     both = F.col("o") + F.col("t")
     part = lambda k, m: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (both * m / max(1, no + nt)))).otherwise(0.0)
     rate = (F.col("t") + 0.5) / (nt + 1) / ((F.col("o") + 0.5) / (no + 1))
