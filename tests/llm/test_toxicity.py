@@ -48,3 +48,17 @@ def test_folds(spark):
     assert [x.predicted for x in got if x.doc_id == 5002] == [1] and {x.predicted for x in got if x.doc_id in (5000, 5001)} == {0}
     assert X.score_folds(docs.limit(0), labels).collect() == []
     assert {x.score for x in X.score_folds(docs.limit(3), labels.limit(0)).collect()} == {0.5}
+
+
+def test_inflected_forms_match_by_stem(spark):
+    d = X.Distance(["idiot", "achli*"], ["lamp", "rope"], ["the", "of", "and"])
+    assert d.unit("achlichkeit") == "achli*" and d.unit("idiot") == "idiot" and d.unit("achl") == "achl"
+    assert d.windows("ein achlichkeit und achlichung")[0] > 0
+    r = random.Random(5)
+    rows = corpus(600, 9)
+    end = lambda: "".join(r.choices("klmnopqrst", k=5))
+    rows = [(i, " ".join("bomen" + end() if x.strip(",!").lower() in ("idiot", "scum", "moron", "trash") else x for x in t.split()), y) for i, t, y in rows]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    held = [(x.predicted, rows[x.doc_id][2]) for x in X.score_folds(docs, labels).collect() if x.held_out]
+    assert sum(p and y for p, y in held) >= 0.8 * sum(y for _, y in held) > 10 and sum(p and not y for p, y in held) <= 0.05 * len(held)
