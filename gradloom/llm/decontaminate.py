@@ -4,7 +4,9 @@ Texts become templates: numbers, names and units turn into typed placeholders.
 Windows of template tokens are hashed and looked up among the benchmark's
 windows; the matches of a document and an item are chained along a diagonal, and the
 values in their slots must map to each other one to one, which catches
-re-parameterised questions and leaves chance agreements alone.  The benchmark's hashes go to
+re-parameterised questions and leaves chance agreements alone.  Windows of the plain
+lower-case tokens are looked up beside them, so that a verbatim copy of a whole item or of RUN tokens
+in a row is found however its tokens are typed, and whatever share of them are slots.  The benchmark's hashes go to
 every task in parts of bounded size, one pass over the documents for each part.
 """
 
@@ -71,8 +73,8 @@ class _Vocabulary(dict):
 _words = _Vocabulary()
 
 
-def _parse(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """(code of each template token, whether it is a slot, all raw tokens, the template's places among them)."""
+def _parse(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """(code of each template token, whether it is a slot, all raw tokens, the template's places among them, the hash of each of its tokens in lower case)."""
     global _words
     if len(_words) > MEMO:
         _words = _Vocabulary()
@@ -85,9 +87,10 @@ def _parse(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndar
     places = np.flatnonzero(~stop)
     kinds = kinds[places]
     slot = kinds != LITERAL
-    codes = _words.hashes[at[places]]
+    plain = _words.hashes[at[places]]
+    codes = plain.copy()
     codes[slot] = _MARKS[kinds[slot]]
-    return codes, slot, raw, places
+    return codes, slot, raw, places, plain
 
 
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -95,7 +98,7 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
     A unit counts only after a number, a name only inside a sentence.
     """
-    codes, slot, raw, places = _parse(text)
+    codes, slot, raw, places, _ = _parse(text)
     return codes, slot, [raw[i].lower() for i in places]
 
 
@@ -113,22 +116,26 @@ def window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """The windows of some benchmark items."""
+    """The windows of some benchmark items, as templates (``telling`` ones, at least half words) and as plain tokens."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = items
         self.templates = [template(t) for _, t in items]
+        self.plain = [_parse(t)[4] for _, t in items]
         where: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        self.windows = []
+        self.windows, self.telling = [], []
         for k, (codes, slot, _) in enumerate(self.templates):
             n = min(WINDOW, len(codes))
             found = 0
             if n >= SHORTEST:
-                for p, h in enumerate(window_hashes(codes, n).tolist()):
+                for p, (h, exact) in enumerate(zip(window_hashes(codes, n).tolist(), window_hashes(self.plain[k], n).tolist())):
                     if 2 * int(slot[p : p + n].sum()) <= n:  # else almost any text with slots agrees
                         where[n][h].append((k, p))
                         found += 1
+                    if exact != h:
+                        where[n][exact].append((k, p))
             self.windows.append(found)
+            self.telling.append(np.array([2 * int(slot[p : p + n].sum()) <= n for p in range(len(codes) - n + 1)], bool) if n >= SHORTEST else np.zeros(0, bool))
         self.where = {n: dict(x) for n, x in where.items()}
         self.seen = {}
         for n, x in self.where.items():
@@ -140,41 +147,57 @@ class Index:
 
     def hits(self, text: str | None) -> list[tuple[int, float, int, bool]]:
         """(item id, share of its windows found, longest run of tokens, whether every slot has its own value) of each item in ``text``."""
-        codes, slot, raw, places = _parse(text)
-        chains: dict[tuple[int, int], set[int]] = defaultdict(set)
+        codes, slot, raw, places, plain = _parse(text)
+        typed = np.flatnonzero(slot)
+        chains: dict[tuple[int, int], tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))  # starts found as templates; all starts
         width: dict[int, int] = {}
         for n, where in self.where.items():
-            h = window_hashes(codes, n)
-            for p in np.flatnonzero(self.seen[n][h & np.uint64((1 << 20) - 1)]).tolist():
-                for k, q in where.get(int(h[p]), ()):
-                    chains[k, p - q].add(q)
-                    width[k] = n
+            for exact, h in enumerate((window_hashes(codes, n), window_hashes(plain, n))[: 1 + bool(len(typed))]):
+                for p in np.flatnonzero(self.seen[n][h & np.uint64((1 << 20) - 1)]).tolist():
+                    for k, q in where.get(int(h[p]), ()):
+                        chains[k, p - q][1].add(q)
+                        if not exact and self.telling[k][q]:
+                            chains[k, p - q][0].add(q)
+                        width[k] = n
         best: dict[int, tuple[float, int, bool]] = {}
-        for (k, shift), starts in chains.items():
+        for (k, shift), (by_template, either) in chains.items():
             item_codes, item_slot, item_low = self.templates[k]
-            n, maps, back, same, ok = width[k], {}, {}, True, True
+            n = width[k]
             first = max(0, -shift)
             last = min(len(item_codes), len(codes) - shift)
-            agree = np.flatnonzero(np.concatenate(([False], item_codes[first:last] == codes[first + shift : last + shift], [False])) == 0)
-            covered = []  # the stretches of agreement that hold a window found
-            for a, b in zip(agree, agree[1:]):
-                a, b = first + int(a), first + int(b) - 1
-                if b - a >= n and any(q in starts for q in range(a, b - n + 1)):
-                    covered += range(a, b)
-            for i in covered:
-                if item_slot[i]:
-                    a, b = item_low[i], raw[places[i + shift]].lower()
-                    same &= a == b
-                    ok &= maps.setdefault(a, b) == b and back.setdefault(b, a) == a
-            if not ok:
-                continue
-            run = longest = 0
-            for a, b in zip([-2, *covered], covered):
-                run = run + 1 if b == a + 1 else 1
-                longest = max(longest, run)
-            share = len(starts) / self.windows[k]
-            if (share >= COVERAGE or longest >= RUN) and (share, longest, same) > best.get(k, (0.0, 0, False)):
-                best[k] = (share, longest, same)
+            alike = item_codes[first:last] == codes[first + shift : last + shift]
+            verbatim = self.plain[k][first:last] == plain[first + shift : last + shift]
+            found = []  # (share, longest run, same) by templates alone, by both, and by verbatim copies alone
+            for starts, agreeing in ((by_template, alike), (either, alike | verbatim)):
+                if not starts or starts is either and either == by_template and (alike | ~verbatim).all():
+                    continue
+                maps, back, same, ok = {}, {}, True, True
+                agree = np.flatnonzero(np.concatenate(([False], agreeing, [False])) == 0)
+                covered = []  # the stretches of agreement that hold a window found of which half are words
+                for a, b in zip(agree, agree[1:]):
+                    a, b = first + int(a), first + int(b) - 1
+                    if b - a >= n and any(q in starts and self.telling[k][q] for q in range(a, b - n + 1)):
+                        covered += range(a, b)
+                for i in covered:
+                    if item_slot[i]:
+                        a, b = item_low[i], raw[places[i + shift]].lower()
+                        same &= a == b
+                        ok &= maps.setdefault(a, b) == b and back.setdefault(b, a) == a
+                if not ok:
+                    continue
+                run = longest = 0
+                for a, b in zip([-2, *covered], covered):
+                    run = run + 1 if b == a + 1 else 1
+                    longest = max(longest, run)
+                share = sum(bool(self.telling[k][q]) for q in starts) / max(1, self.windows[k])
+                if share >= COVERAGE or longest >= RUN:
+                    found.append((share, longest, same))
+            gaps = np.flatnonzero(np.concatenate(([False], verbatim, [False])) == 0)
+            copied = int(np.diff(gaps).max()) - 1  # tokens of the longest verbatim stretch
+            if copied >= min(RUN, len(item_codes)):
+                found.append(((copied - n + 1) / (len(item_codes) - n + 1), copied, True))
+            best[k] = max([best.get(k, (0.0, 0, False)), *found])
+        best = {k: v for k, v in best.items() if v[1]}
         return [(self.items[k][0], *v) for k, v in sorted(best.items())]
 
 

@@ -73,3 +73,16 @@ def test_edges(spark):
     assert sorted(x.doc_id for x in D.clean(docs, bench).collect()) == [2, 3]
     assert D.contaminated(docs.limit(0), bench).collect() == [] == D.contaminated(docs, bench.limit(0)).collect()
     assert D.clean(docs, bench.limit(0)).count() == 6
+
+
+def test_verbatim_copies_need_no_typing():
+    sums = "12 7 19 4 23 8 31 5 36 9 45 2"
+    index = D.Index([(1, sums), (2, "Which river crosses the northern plain"), (3, "x 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15")])
+    found = lambda t: [(i, e) for i, _, _, e in index.hits(t)]
+    assert found("so " + sums + " is the row") == [(1, True)]
+    assert found("so " + sums.replace("19", "20") + " is the row") == []
+    assert found("y 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15") == [(3, True)]
+    assert found("y 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16") == [(3, True)]
+    assert found("y 21 22 23 24 25 26 27 28 29 30 31 32 33 34 35") == []
+    assert found("Question: Which river crosses the northern plain") == [(2, True)]
+    assert found("question which river crosses the southern plain") == []
