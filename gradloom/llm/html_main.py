@@ -3,9 +3,9 @@
 Pages are put in order of host and URL path and each is paired with the
 neighbour in its host that shares the longer part of its path.  The text lines of the pair are aligned by
 longest common subsequence, and the lines they share, a site's furniture, are
-deleted.  The alignment rules on lines outside ``article`` and ``main``; inside them a shared
-line may well be the same article at two addresses and stays.  Containers whose element or class
-says that they are furniture are dropped as well, as is all outside the article where a page marks one.
+deleted, in a marked ``article`` or ``main`` as well as outside.  A pair that shares half of an article, or nearly all of a page
+without one, holds the same article at two addresses, and it stays.  What elements declare is furniture (``nav``, ``footer``, a container of class ``ad``) is dropped as well, and all outside
+the article where a page marks one that isn't only a teaser of the page's text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql.window import Window
 
 from ._common import materialize
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_ENDS = re.compile(r"['\">]")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,25 +36,63 @@ FURNITURE = set(
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
 }
-_WORD = re.compile(r"[a-z]+")
+#: Containers that a class, id or role can make furniture; parts of such a name that don't say what it is.
+CONTAINERS = set("div section ul ol dl table tbody center fieldset span ins details figure".split())
+GENERIC = set("site page main top bottom left right inner outer upper lower wrap wrapper container box bar block section list area item items global primary secondary links link button buttons icons group row col module unit slot zone panel content text body global".split())
 
 
 def _furniture(attrs: str) -> bool:
-    return any(w in FURNITURE for m in _NAMES.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+    """Whether a name in class, id or role says so: one whose parts are furniture or say nothing, as in ``site-footer`` but not in ``share-price`` or ``has-sidebar``."""
+    for m in _NAMES.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [x for x in re.split(r"[^a-z]+", name) if x]
+            if any(x in FURNITURE for x in parts) and all(x in FURNITURE or x in GENERIC for x in parts):
+                return True
+    return False
+
+
+class _Tags:
+    """Finds the end of each tag; every scan is paid by the text it passes, but for one."""
+
+    def __init__(self, html: str):
+        self.html, self.quoted = html, True
+        self.last = {c: html.rfind(c) for c in "'\">"}
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose attributes start at ``at``: the first > outside quotes, else the first at all; -1 without any."""
+        html, last = self.html, self.last
+        if at > last[">"]:
+            return -1
+        i = at
+        while self.quoted:
+            m = _ENDS.search(html, i)
+            if m is None:
+                self.quoted = False
+            elif m[0] == ">":
+                return m.start()
+            elif m.start() >= last[m[0]]:  # not closed
+                break
+            else:
+                i = html.index(m[0], m.end()) + 1
+        return html.index(">", at)
 
 
-def lines_of(html: str | None) -> tuple[bool, list[tuple[str, int]]]:
-    """(whether the page marks an article, its text lines in page order with their zone).
+def lines_of(html: str | None) -> list[tuple[str, int]]:
+    """The text lines of a page in page order with their zone, in time linear in its length.
 
     A line is a block's text, references decoded, white space squeezed.  Zones: 2 in the article, 1 outside,
     0 in furniture.  An unclosed tag ends with its parent; furniture that is still open ends where an article begins.
+    A < that no > follows is text.
     """
     html = html or ""
     out: list[tuple[str, int]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, furniture, article
+    stack: list[tuple[str, bool, bool]] = []  # element, furniture, article; inline elements only where they are furniture
+    blocks: list[int] = []  # places in the stack of elements that are neither inline nor p
+    opened: dict[str, int] = {}
     dropped = inside = 0
-    marked = False
+    tags = _Tags(html)
+    unclosed: set[str] = set()
 
     def flush() -> None:
         if buffer:
@@ -64,60 +103,73 @@ def lines_of(html: str | None) -> tuple[bool, list[tuple[str, int]]]:
 
     def pop() -> None:
         nonlocal dropped, inside
-        _, d, a = stack.pop()
+        name, d, a = stack.pop()
+        opened[name] -= 1
+        if blocks and blocks[-1] == len(stack):
+            blocks.pop()
         dropped -= d
         inside -= a
 
+    def close(name: str) -> None:
+        while stack[-1][0] != name:
+            pop()
+        pop()
+
     at, size = 0, len(html)
     while at < size:
         m = _TAG.search(html, at)
-        if not m:
+        end = -1 if m is None else m.end() if m[2] is None else tags.end(m.end())
+        if end < 0:
             buffer.append(html[at:])
             break
         if m.start() > at:
             buffer.append(html[at : m.start()])
-        at = m.end()
         if m[2] is None:
+            at = end
             if m[0].startswith("<![CDATA["):
                 buffer.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
+        attrs, at = html[m.end() : end], end + 1
         name = m[2].lower()
         if m[1]:
             if name not in INLINE:
                 flush()
-            if any(s[0] == name for s in stack):
-                while stack[-1][0] != name:
-                    pop()
-                pop()
+            if opened.get(name):
+                close(name)
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(html, at)
-            at = end.end() if end else size
+            found = None if name in unclosed else re.compile(rf"</{name}\s*/?>", re.I).search(html, at)
+            if found is None:
+                unclosed.add(name)
+            at = found.end() if found else size
             continue
-        if name not in INLINE:
+        inline = name in INLINE
+        if not inline:
             flush()
-        if name in VOID or m[3].rstrip().endswith("/") and name in INLINE:
+        if name in VOID or inline and attrs.rstrip().endswith("/"):
             continue
-        for s in reversed(stack):
-            if s[0] in CLOSES.get(name, ()):
-                while stack[-1] is not s:
-                    pop()
-                pop()
-                break
-            if s[0] not in INLINE and s[0] not in ("p",):
-                break
+        closes = CLOSES.get(name, ())
+        top = blocks[-1] if blocks else -1
+        if "p" in closes:
+            if opened.get("p") and any(s[0] == "p" for s in stack[top + 1 :]):
+                close("p")
+        elif top >= 0 and stack[top][0] in closes:
+            close(stack[top][0])
         main = name in ("article", "main")
-        bad = name in DROPPED or (name not in ("html", "body") and _furniture(m[3]))
-        if main and not bad:
-            marked = True
-            if dropped and not inside:
-                while dropped:
-                    pop()
-        stack.append((name, bad, main and not bad))
+        bad = name in DROPPED or name in CONTAINERS and _furniture(attrs)
+        if inline and not bad:
+            continue
+        if main and dropped and not inside:
+            while dropped:
+                pop()
+        if not inline and name != "p":
+            blocks.append(len(stack))
+        stack.append((name, bad, main))
+        opened[name] = opened.get(name, 0) + 1
         dropped += bad
-        inside += main and not bad
+        inside += main
     flush()
-    return marked and any(z == 2 for _, z in out), out
+    return out
 
 
 def _rows(a: list, b: list) -> list[int]:
@@ -175,14 +227,40 @@ def _hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line) - (1 << 63)
 
 
-def main_text(html: str | None, neighbour: list[int] | None = None) -> str:
-    """The main text of a page, lines joined by a space; ``neighbour``: hashes of the lines outside the article of the page it is paired with."""
-    marked, lines = lines_of(html)
-    if marked:
-        return " ".join(t for t, z in lines if z == 2)
-    outside = [(t, z) for t, z in lines if z != 2]
-    shared = set(common_lines([_hash(t) for t, _ in outside], neighbour)) if neighbour else set()
-    return " ".join(t for i, (t, z) in enumerate(outside) if z == 1 and i not in shared)
+#: A marked article is a teaser if the page has this many times its text outside, and so many characters at least.
+TEASER_TIMES, TEASER_CHARS = 4, 200
+#: From this share of a marked article on, or of a page's text outside one, what a pair shares is the same article at two addresses.
+SAME_ARTICLE, SAME_PAGE = 0.5, 0.9
+
+
+def _chosen(marks: list[tuple[int, int]]) -> list[int]:
+    """Of lines (zone, length), the places of those that are the main text."""
+    article, rest = (sum(n for z, n in marks if z == zone) for zone in (2, 1))
+    least = 1 if not article or rest >= max(TEASER_CHARS, TEASER_TIMES * article) else 2
+    return [i for i, (z, _) in enumerate(marks) if z >= least]
+
+
+def shared_lines(own: list[int], marks: list[tuple[int, int]], neighbour: list[int]) -> list[int]:
+    """Places of the lines that a page's neighbour takes from its main text; none where what they share is the same article.
+
+    ``own`` and ``neighbour``: line hashes; ``marks``: zone and length of each own line.
+    """
+    shared = common_lines(own, neighbour)
+    size = lambda zone, places: sum(marks[i][1] for i in places if marks[i][0] == zone)
+    everything = range(len(own))
+    same = {0, *(z for z, share in ((1, SAME_PAGE), (2, SAME_ARTICLE)) if size(z, shared) >= share * size(z, everything))}
+    gone = {i for i in shared if marks[i][0] not in same}
+    whole = _chosen(marks)
+    left = [i for i in range(len(own)) if i not in gone]
+    after = [left[i] for i in _chosen([marks[i] for i in left])]
+    return sorted(gone) if after != whole else []
+
+
+def main_text(html: str | None, shared: list[int] | None = None) -> str:
+    """The main text of a page, lines joined by a space; ``shared``: places of the lines that its neighbour takes from it."""
+    gone = set(shared or ())
+    lines = [x for i, x in enumerate(lines_of(html)) if i not in gone]
+    return " ".join(lines[i][0] for i in _chosen([(z, len(t)) for t, z in lines]))
 
 
 def _host_and_path(url):
@@ -192,27 +270,30 @@ def _host_and_path(url):
 
 
 def pair_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, lines): of each distinct page, the line hashes of its nearest page in the same host.
+    """(page_id, url, digest, shared): pages whose nearest page in the same host takes lines from them, and which.
 
-    ``pages``: page_id, url, html.  The order is cut into ranges, so that a host of any size spreads over tasks;
-    the ends of a range meet the ends of the ranges beside it.  Pages alone in their host are left out, as are copies of one address.
+    ``pages``: page_id, url, html; ``digest`` is a hash of the html.  The order is cut into ranges, so that a host of any size spreads over tasks;
+    the ends of a range meet the ends of the ranges beside it.  Pages alone in their host are left out, as are copies of one page.
     """
 
-    @F.pandas_udf("array<long>")
-    def outside(html):
-        return html.map(lambda h: [_hash(t) for t, z in lines_of(h)[1] if z != 2])
+    @F.pandas_udf("hashes array<long>, marks array<long>")
+    def parsed(html):
+        import pandas as pd
+
+        lines = [lines_of(h) for h in html]
+        return pd.DataFrame({"hashes": [[_hash(t) for t, _ in x] for x in lines], "marks": [[len(t) << 2 | z for t, z in x] for x in lines]})
 
     host, path = _host_and_path(F.col("url"))
-    keyed = pages.select("page_id", "url", host.alias("host"), path.alias("path"), outside("html").alias("lines")).where("host != '' and page_id is not null")
-    once = keyed.groupBy("host", "path", "url", "page_id").agg(F.min("lines").alias("lines"))
-    key = ["host", "path", "url", "page_id"]
-    placed = materialize(once.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()), "pages")
+    keyed = pages.select("page_id", "url", F.xxhash64("html").alias("digest"), host.alias("host"), path.alias("path"), parsed("html").alias("p")).where("host != '' and page_id is not null")
+    once = keyed.groupBy("host", "path", "url", "page_id", "digest").agg(F.any_value("p").alias("p"))  # copies parse alike
+    key = ["host", "path", "url", "page_id", "digest"]
+    placed = materialize(once.repartitionByRange(*key).sortWithinPartitions(*key).select(*key, F.col("p.hashes").alias("lines"), F.col("p.marks").alias("marks")).withColumn("part", F.spark_partition_id()), "pages")
     whole = F.struct(*key, "lines")
     ends = placed.groupBy("part").agg(F.min(whole).alias("first"), F.max(whole).alias("last"))  # one row a range
     order = Window.orderBy("part")
     ends = ends.select("part", F.lag("last").over(order).alias("before"), F.lead("first").over(order).alias("after"))
     inside = Window.partitionBy("part").orderBy(*key)
-    near = placed.withColumn("prev", F.lag(whole).over(inside)).withColumn("next", F.lead(whole).over(inside)).join(F.broadcast(ends), "part")
+    near = placed.withColumn("prev", F.lag(whole).over(inside)).withColumn("next", F.lead(whole).over(inside)).join(ends, "part")
     near = near.withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "after"))
 
     @F.pandas_udf("int")
@@ -223,37 +304,33 @@ def pair_pages(pages: DataFrame) -> DataFrame:
 
         return pd.Series([-1 if y is None else len(os.path.commonprefix([x, y])) for x, y in zip(a, b)])
 
+    @F.pandas_udf("array<int>")
+    def taken(own, marks, other):
+        import pandas as pd
+
+        return pd.Series([shared_lines(list(x), [(int(m) & 3, int(m) >> 2) for m in y], list(z)) for x, y, z in zip(own, marks, other)])
+
     same = lambda side: F.when(F.col(f"{side}.host") == F.col("host"), F.col(f"{side}.path"))
     scored = near.withColumn("p", alike("path", same("prev"))).withColumn("n", alike("path", same("next")))
-    return scored.where("p >= 0 or n >= 0").select("page_id", "url", F.when(F.col("p") >= F.col("n"), F.col("prev.lines")).otherwise(F.col("next.lines")).alias("lines"))
+    nearest = scored.where("p >= 0 or n >= 0").withColumn("other", F.when(F.col("p") >= F.col("n"), F.col("prev.lines")).otherwise(F.col("next.lines")))
+    return nearest.select("page_id", "url", "digest", taken("lines", "marks", "other").alias("shared")).where(F.size("shared") > 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages`` (page_id, url, html).
 
     Null and empty html gives an empty text; a null url or page_id has no pair; repeated rows stay; an
-    empty table gives an empty result; other columns are ignored.  Only pages without a marked article wait for their pair.
+    empty table gives an empty result; other columns are ignored.  Pages are parsed in linear time, whatever their length or faults.
+    Only the places of deleted lines travel to the pages.
     """
     pages = pages.select("page_id", "url", "html")
 
-    @F.pandas_udf("text string, done boolean")
-    def alone(html):
-        import pandas as pd
-
-        out = []
-        for h in html:
-            marked, lines = lines_of(h)
-            out.append((" ".join(t for t, z in lines if z == 2), True) if marked else (None, not lines))
-        return pd.DataFrame(out, columns=["text", "done"])
-
     @F.pandas_udf("string")
-    def paired(html, lines):
+    def text_of(html, shared):
         import pandas as pd
 
-        return pd.Series([main_text(h, None if x is None else list(x)) for h, x in zip(html, lines)])
+        return pd.Series([main_text(h, None if x is None else list(x)) for h, x in zip(html, shared)])
 
-    first = pages.withColumn("r", alone("html"))
-    ready = first.where("r.done").select("page_id", "url", F.coalesce("r.text", F.lit("")).alias("text"))
-    rest = first.where("not r.done").select("page_id", "url", "html").join(pair_pages(pages), ["page_id", "url"], "left")
-    found = ready.unionByName(rest.select("page_id", "url", paired("html", "lines").alias("text")))
-    return found.withColumn("n_chars", F.length("text").cast("long"))
+    taken = materialize(pair_pages(pages), "pairs")
+    found = pages.withColumn("digest", F.xxhash64("html")).join(taken, ["page_id", "url", "digest"], "left")
+    return found.select("page_id", "url", text_of("html", "shared").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -68,3 +68,86 @@ def test_pairs_span_ranges(spark):
     rows = [(i, f"http://big.example/p/{i:04d}", f"<p>furniture</p><p>own {i}</p>") for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {x.page_id: x.text for x in H.extract(pages).collect()} == {i: f"own {i}" for i in range(200)}
+
+
+def test_linear_time():
+    """Hostile pages of about a million characters; the limit is loose, a quadratic parser takes minutes."""
+    import time
+
+    for page in ("<a " * 340_000, "<div>" * 90_000 + "</span></p></x>" * 40_000, '<a "x>y" ' * 110_000, "<b><p>" * 90_000, "<span class=ad><p>" * 50_000, "<a '" * 250_000, "<" * 1_000_000):
+        began = time.time()
+        H.main_text(page)
+        assert time.time() - began < 15
+
+
+def test_names_of_furniture():
+    keep = ("alert-level", "share-price", "has-sidebar", "comments-open", "adventure", "")
+    drop = ("ad", "ad-banner", "site-footer", "comment-list", "x sidebar", "cookie_notice")
+    page = "".join(f'<div class="{c}">{i}</div>' for i, c in enumerate((*keep, *drop)))
+    assert H.main_text(f"<article class='post has-sidebar'>{page}<p class=alert>z</article>") == "0 1 2 3 4 5 z"
+    assert H.main_text("<article>teaser</article><div id=story>" + "story " * 60 + "</div>").startswith("teaser story story")
+
+
+def brute(rows):
+    """Main texts by the rule written out: pairs from a sorted list, the table of common lines, deletions."""
+    key = {i: (u.split("/")[2], "/" + "/".join(u.split("/")[3:]), u, i) for i, u, _ in rows}
+    order = sorted(key, key=key.get)
+    lines = {i: H.lines_of(h) for i, _, h in rows}
+
+    def common(a, b):
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                n[i][j] = n[i + 1][j + 1] + 1 if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
+        i = j = 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                yield i
+                i, j = i + 1, j + 1
+            elif n[i + 1][j] >= n[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+
+    out = {}
+    for k, i in enumerate(order):
+        best, other = -1, None
+        for j in order[max(0, k - 1) : k] + order[k + 1 : k + 2]:
+            if key[i][0] == key[j][0]:
+                n = 0
+                while n < min(len(key[i][1]), len(key[j][1])) and key[i][1][n] == key[j][1][n]:
+                    n += 1
+                if n > best:
+                    best, other = n, j
+        own, gone = lines[i], set()
+        if other is not None:
+            shared = set(common([t for t, _ in own], [t for t, _ in lines[other]]))
+            for z, share in ((1, 0.9), (2, 0.5)):
+                all_, some = (sum(len(t) for p, (t, y) in enumerate(own) if y == z and p in q) for q in (range(len(own)), shared))
+                if some < share * all_:
+                    gone |= {p for p in shared if own[p][1] == z}
+        left = [x for p, x in enumerate(own) if p not in gone]
+        article, rest = (sum(len(t) for t, y in left if y == z) for z in (2, 1))
+        both = not article or rest >= max(200, 4 * article)
+        out[i] = " ".join(t for t, z in left if z == 2 or z == 1 and both)
+    return out
+
+
+def test_extract_against_brute_force(spark):
+    r = random.Random(3)
+    words = lambda n: " ".join("".join(r.choices("abcdefg", k=4)) for _ in range(n))
+    pool = {h: [words(r.randrange(1, 6)) for _ in range(6)] for h in range(3)}
+    rows = []
+    for i in range(150):
+        h = r.randrange(3)
+        menu = [x for x in pool[h] if r.random() < 0.8]
+        half = len(menu) // 2
+        own = [words(r.choice([1, 5, 40])) for _ in range(r.randrange(4))]
+        body = "".join(f"<p>{x}</p>" for x in own)
+        body = r.choice(["<article>{}</article>", "<div>{}</div>", "<main><p>Read on</p>{}<p>Share it</p></main>"]).format(body)
+        page = "".join(f"<div>{x}</div>" for x in menu[:half]) + body + "".join(f"<div>{x}</div>" for x in menu[half:])
+        rows.append((i, f"http://h{h}.example/{r.choice('abc')}/{r.randrange(10**6)}", page))
+    want = brute(rows)
+    got = {x.page_id: x.text for x in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert sum(want[i] != H.main_text(h) for i, _, h in rows) > 60  # the neighbour decides
