@@ -3,8 +3,8 @@
 Pages are put in order of host and URL path and each is paired with the
 neighbour in its host that shares the longer part of its path.  The text lines of the pair are aligned by
 longest common subsequence, and the lines they share, a site's furniture, are
-deleted, in a marked ``article`` or ``main`` as well as outside.  A pair that shares half of an article, or nearly all of a page
-without one, holds the same article at two addresses, and it stays.  What elements declare is furniture (``nav``, ``footer``, a container of class ``ad``) is dropped as well, and all outside
+deleted.  Lines of a marked ``article`` or ``main`` stay: articles of one host do share lines that are their own text.  A pair that shares nearly
+all of a page's text outside holds the same text at two addresses, and it stays too.  What elements declare is furniture (``nav``, ``footer``, a container of class ``ad``) is dropped as well, and all outside
 the article where a page marks one that isn't only a teaser of the page's text.
 """
 
@@ -229,8 +229,8 @@ def _hash(line: str) -> int:
 
 #: A marked article is a teaser if the page has this many times its text outside, and so many characters at least.
 TEASER_TIMES, TEASER_CHARS = 4, 200
-#: From this share of a marked article on, or of a page's text outside one, what a pair shares is the same article at two addresses.
-SAME_ARTICLE, SAME_PAGE = 0.5, 0.9
+#: From this share of a page's text outside a marked article on, what a pair shares is the same text at two addresses.
+SAME_PAGE = 0.9
 
 
 def _chosen(marks: list[tuple[int, int]]) -> list[int]:
@@ -246,10 +246,10 @@ def shared_lines(own: list[int], marks: list[tuple[int, int]], neighbour: list[i
     ``own`` and ``neighbour``: line hashes; ``marks``: zone and length of each own line.
     """
     shared = common_lines(own, neighbour)
-    size = lambda zone, places: sum(marks[i][1] for i in places if marks[i][0] == zone)
-    everything = range(len(own))
-    same = {0, *(z for z, share in ((1, SAME_PAGE), (2, SAME_ARTICLE)) if size(z, shared) >= share * size(z, everything))}
-    gone = {i for i in shared if marks[i][0] not in same}
+    outside = [i for i in range(len(own)) if marks[i][0] == 1]
+    gone = {i for i in shared if marks[i][0] == 1}
+    if sum(marks[i][1] for i in gone) >= SAME_PAGE * sum(marks[i][1] for i in outside):
+        return []
     whole = _chosen(marks)
     left = [i for i in range(len(own)) if i not in gone]
     after = [left[i] for i in _chosen([marks[i] for i in left])]
