@@ -9,6 +9,7 @@ by prefix scans (sums and maxima) over the blocks of a file.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from functools import lru_cache
 
@@ -35,6 +36,31 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Runs of white space from this length on are taken out of a text before it is split by PATTERN, whose look-ahead overflows the stack on very long ones.
+LONG_SPACE = 4096
+
+
+@lru_cache(maxsize=2)
+def _long_space(least: int) -> re.Pattern:
+    return re.compile(f"[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{{{least},}}")
+
+
+def encode(text: str | None, ranks_path: str, least: int = LONG_SPACE) -> list[int]:
+    """Token ids of a whole text, none for null; the same whatever ``least`` is.
+
+    By PATTERN a run of white space is one part at a text's end, and before other characters all but its last character is.
+    """
+    text, model = text or "", encoder(ranks_path)
+    out: list[int] = []
+    at = 0
+    for m in _long_space(least).finditer(text):
+        last = m.end() == len(text)
+        out += model.encode_ordinary(text[at : m.start()])
+        out += model._encode_single_piece(text[m.start() : m.end() - (not last)])
+        at = m.end() - (not last)
+    return out + model.encode_ordinary(text[at:])
+
+
 def _open(path: str):
     from pyarrow import fs
 
@@ -64,9 +90,8 @@ def write_flat(docs: DataFrame, folder: str, ranks_path: str, id_col: str = "doc
                 system.create_dir(at, recursive=True)
                 out = system.open_output_stream(f"{at}/{name}.bin")
             flat = []
-            encode = encoder(ranks_path).encode_ordinary
             for text in b["text"]:
-                flat.append(np.array(encode(text or ""), "<u2"))
+                flat.append(np.array(encode(text, ranks_path), "<u2"))
                 flat.append(np.array([end], "<u2"))
             data = np.concatenate(flat).tobytes()
             out.write(data)
@@ -129,7 +154,8 @@ def scan(spark: SparkSession, folder: str, files: DataFrame, end: int = END_OF_D
 def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens), one row per input row: the documents are written as flat files to the shared folder, which are then scanned.
 
-    Null and empty texts have no tokens; other columns are ignored; an empty table gives an empty result.
+    Null and empty texts have no tokens; texts of any length and runs of one character are counted whole; repeated rows
+    are counted each; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")

@@ -49,3 +49,14 @@ def test_counts(spark):
     got = sorted((x.doc_id or 0, x.n_tokens) for x in T.count_tokens(docs, PATH).collect())
     assert got == sorted((i or 0, len(enc.encode_ordinary(t or ""))) for i, t in rows)
     assert T.count_tokens(docs.limit(0), PATH).collect() == []
+
+
+def test_long_white_space():
+    from gradloom.llm.queries import RANKS
+
+    r = __import__("random").Random(2)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "b1", ".", "\u00e9", *[c * r.randrange(1, 12) for c in " \n\t\u00a0\u2003"], " \n ", "\x1c"]) for _ in range(r.randrange(12)))
+        assert T.encode(text, RANKS, 2) == T.encoder(RANKS).encode_ordinary(text), repr(text)
+    assert len(T.encode(" " * 1_000_000 + "x", RANKS)) > 10_000
+    assert T.encode(None, RANKS) == T.encode("", RANKS) == []
