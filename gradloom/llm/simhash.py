@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, materialize
@@ -43,8 +43,8 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row per input row, the fingerprint as a signed long; other columns are ignored."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(id, fp) and ``more``: one row per input row, the fingerprint as a signed long; other columns are ignored."""
 
     @F.pandas_udf("long")
     def fp(texts):
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"), *more)
 
 
 class BKTree:
@@ -175,6 +175,17 @@ def link_nodes(nodes: DataFrame) -> DataFrame:
     return shards.mapInPandas(search, "fp long, near long, root long")
 
 
+def _classes(f: DataFrame) -> DataFrame:
+    """(fp, n_near, component_id, root) of the distinct fingerprints in ``f`` (id, fp)."""
+    nodes = materialize(f.groupBy("fp").agg(F.count(F.lit(1)).alias("cnt"), F.min("id").alias("first")), "simhash-nodes")
+    links = materialize(link_nodes(nodes.select("fp", "cnt")), "simhash-links")
+    near = links.groupBy("fp").agg(F.sum("near").alias("near"))
+    roots = components(links.select(F.col("fp").alias("a"), F.col("root").alias("b")))
+    placed = nodes.join(near, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "cnt", "first", F.coalesce("near", F.lit(0).cast("long")).alias("near"), F.coalesce("root", "fp").alias("root"))
+    heads = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return placed.join(heads, "root").select("fp", (F.col("cnt") - 1 + F.col("near")).alias("n_near"), "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, n_near, component_id), one row per input row.
 
@@ -184,21 +195,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result; other columns are ignored.
     """
     f = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = materialize(f.groupBy("fp").agg(F.count(F.lit(1)).alias("cnt"), F.min("id").alias("first")), "simhash-nodes")
-    links = materialize(link_nodes(nodes.select("fp", "cnt")), "simhash-links")
-    near = links.groupBy("fp").agg(F.sum("near").alias("near"))
-    roots = components(links.select(F.col("fp").alias("a"), F.col("root").alias("b")))
-    placed = nodes.join(near, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "cnt", "first", F.coalesce("near", F.lit(0).cast("long")).alias("near"), F.coalesce("root", "fp").alias("root"))
-    heads = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = placed.join(heads, "root").select("fp", (F.col("cnt") - 1 + F.col("near")).alias("n_near"), "component_id")
-    return f.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+    return f.join(_classes(f), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their group's smallest; a repeated id keeps one row, and null ids stay."""
-    groups = near_duplicates(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, all columns: that of the smallest id, null ids last.
+
+    Of rows with that id the one of the smallest fingerprint and text hash stays, and of those with that text too the first by all
+    columns written as JSON; so the result doesn't depend on the table's order.  Ids may repeat: rows of one id in two
+    groups are judged apart.  An empty table gives an empty result; columns may have any names.
+    """
+    text_hash = F.xxhash64(F.col(text_col))
+    f = materialize(fingerprints(docs, id_col, text_col, text_hash.alias("h")), "simhash")
+    groups = f.join(_classes(f.select("id", "fp")).select("fp", "root"), "fp").groupBy("root", "id", "fp", "h").agg(F.count(F.lit(1)).alias("n"))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "h", "n")).alias("b")).select("b.id", "b.h", "b.n")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("a"), text_hash.alias("b"))
+    kept = rows.join(best, F.col("a").eqNullSafe(F.col("id")) & (F.col("b") == F.col("h")))
+    one = kept.where("n = 1").select("row")
+    first = kept.where("n > 1").groupBy("a", "b").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return one.unionByName(first).select("row.*")
 
 
 __all__ = ["BKTree", "fingerprint", "fingerprints", "keep_one", "link_nodes", "near_duplicates", "shard_links"]

@@ -97,7 +97,7 @@ def test_empty_and_null_ids(spark):
     assert simhash.near_duplicates(empty).collect() == []
     some = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d")], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.n_near, r.component_id) for r in simhash.near_duplicates(some).collect()) == [(False, 2, 4), (False, 2, 4), (True, 2, 4)]
-    assert sorted((r.doc_id or -1) for r in simhash.keep_one(some).collect()) == [-1, 4]
+    assert sorted((r.doc_id or -1) for r in simhash.keep_one(some).collect()) == [4]
 
 
 def test_components(spark):
@@ -116,3 +116,17 @@ def test_components(spark):
             x, y = sorted((find(a), find(b)))
             up[y] = x
     assert got == {i: find(i) for i in up if find(i) != i}
+
+
+def test_keep_one_whatever_the_order(spark):
+    """Repeated and null ids, in every order of the rows."""
+    from itertools import permutations
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, b, "x"), (5, a, "x"), (5, b, "x"), (None, c, "z"), (None, c, "y"), (7, None, "x"), (8, "", "x"), (3, b, "w")]
+    want = {(3, b, "w"), (5, a, "x"), (None, c, "y"), (7, None, "x")}
+    for some in list(permutations(rows))[::9000]:
+        got = simhash.keep_one(spark.createDataFrame(some, "doc_id long, text string, fp string").repartition(2)).collect()
+        assert {tuple(r) for r in got} == want and len(got) == 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    assert simhash.keep_one(docs.limit(0)).collect() == [] and simhash.keep_one(docs).columns == docs.columns
