@@ -76,6 +76,11 @@ class Quantiser:
         return out
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two each, exactly, so that their largest component is near one and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest row number reachable from each of ``n`` rows over the pairs (a, b)."""
     label = np.arange(n)
@@ -128,7 +133,7 @@ def _valid(vector: str):
     return v.isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def index(nodes: DataFrame, rows: int, dim: int, fit_rows: int = FIT_ROWS, probes: int = PROBES) -> tuple[DataFrame, Quantiser]:
+def index(nodes: DataFrame, rows: int, fit_rows: int = FIT_ROWS, probes: int = PROBES) -> tuple[DataFrame, Quantiser]:
     """Every node (node, cnt, v) with its lists, codes and error, and the quantiser, fitted to about ``fit_rows`` rows.
 
     There are about sqrt(rows) lists, at most one for each 20 rows of the sample.
@@ -137,7 +142,7 @@ def index(nodes: DataFrame, rows: int, dim: int, fit_rows: int = FIT_ROWS, probe
     sample = nodes.where(draw < min(1.0, fit_rows / rows)).select("node", "v").toPandas().sort_values("node")
     if not len(sample):
         sample = nodes.orderBy("node").limit(1).select("node", "v").toPandas()
-    x = np.array(sample["v"].tolist(), np.float64)
+    x = _scaled(np.array(sample["v"].tolist(), np.float64))
     x /= np.sqrt((x**2).sum(axis=1))[:, None]
     q = Quantiser(x, max(1, min(round(rows**0.5), len(x) // 20)), probes)
 
@@ -147,7 +152,7 @@ def index(nodes: DataFrame, rows: int, dim: int, fit_rows: int = FIT_ROWS, probe
         for b in batches:
             if not len(b):
                 continue
-            v = np.array(b["v"].tolist(), np.float64)
+            v = _scaled(np.array(b["v"].tolist(), np.float64))
             lists, codes, err = q.encode(v / np.sqrt((v**2).sum(axis=1))[:, None])
             yield pd.DataFrame({"node": b["node"], "cnt": b["cnt"], "v": b["v"], "lists": lists.astype(np.int32).tolist(), "code": [c.tobytes() for c in codes], "err": err})
 
@@ -185,7 +190,7 @@ def link_nodes(coded: DataFrame, q: Quantiser, cosine: float = COSINE, block: in
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                x = np.array(list(r.v), np.float64)
+                x = _scaled(np.array(list(r.v), np.float64))
                 codes = np.frombuffer(b"".join(r.code), np.uint8).reshape(len(x), -1)
                 out.append(block_links(q, r.at, np.asarray(r.role), np.asarray(r.node, np.int64), np.asarray(r.cnt, np.float64), x, np.array(list(r.lists)), codes, np.asarray(r.err), cosine))
             if out:
@@ -199,22 +204,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id_col, n_links, component_id, kept), one row per input row; any labels are ignored.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do
-    rows without an id (component null, not kept) or vectors of another length than the most
-    frequent one (of equals, the longest).  Repeated rows count as rows of their own.  An empty table gives an empty result.
+    rows without an id (component null, not kept).  Vectors are compared with those of their own length, each length in an index of its own.
+    Repeated rows count as rows of their own.  An empty table gives an empty result.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    valid = _valid("v") & F.col("id").isNotNull()
-    lengths = rows.where(valid).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    dim = lengths[0].d if lengths else 0
-    rows = rows.select("id", "v", (valid & (F.size("v") == dim)).alias("ok"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("ok", _valid("v") & F.col("id").isNotNull())
     rows = rows.select("id", "v", "ok", F.when(F.col("ok"), F.xxhash64("v")).alias("h1"), F.when(F.col("ok"), F.xxhash64(F.lit(1), "v")).alias("h2"))
     alone = rows.where(~F.col("ok")).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    if not lengths:
-        return alone
     same = rows.where("ok").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("cnt"), F.min("id").alias("first"), F.any_value("v").alias("v"))
     nodes = materialize(same.withColumn("node", F.monotonically_increasing_id()), "pq-nodes")
-    coded, q = index(nodes.select("node", "cnt", "v"), nodes.count(), dim)
-    links = materialize(link_nodes(materialize(coded, "pq-index"), q, cosine), "pq-links")
+    links = None
+    for dim, n in sorted(nodes.groupBy(F.size("v").alias("d")).count().collect()):
+        coded, q = index(nodes.where(F.size("v") == dim).select("node", "cnt", "v"), n)
+        some = materialize(link_nodes(materialize(coded, "pq-index"), q, cosine), "pq-links")
+        links = some if links is None else links.unionByName(some)
+    if links is None:
+        return alone
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
     placed = nodes.select("node", "h1", "h2", "cnt", "first").join(total, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

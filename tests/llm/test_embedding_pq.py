@@ -62,3 +62,11 @@ def test_odd_vectors(spark):
     assert got == sorted([(-1, 0, None, False), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), *alone])
     assert E.near_duplicates(df.limit(0)).collect() == []
     assert len(E.near_duplicates(df.where("vec_id in (3, 4)")).collect()) == 2
+
+
+def test_lengths_and_extreme_sizes(spark):
+    """Vectors of several lengths are all compared; squares that over- or underflow lose no link."""
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [1.0, 0.01]), (6, [1e200, 1e199]), (7, [1e-200, 1e-201]), (8, [5e-324, 0.0]), (9, [])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    near = (4, 4, False)
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (4, 4, True), 5: near, 6: near, 7: near, 8: near, 9: (0, 9, True)}
