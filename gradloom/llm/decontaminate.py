@@ -6,7 +6,9 @@ windows; the matches of a document and an item are chained along a diagonal, and
 values in their slots must map to each other one to one, which catches
 re-parameterised questions and leaves chance agreements alone.  Windows of the plain
 lower-case tokens are looked up beside them, so that a verbatim copy of a whole item or of RUN tokens
-in a row is found however its tokens are typed, and whatever share of them are slots.  The benchmark's hashes go to
+in a row is found however its tokens are typed, and whatever share of them are slots.  All this is done a second time with
+names in a row, and numbers in a row, as one slot each, so that a value of several words may stand for one of one word.
+An item too short for windows is found in a document that has exactly its tokens.  The benchmark's hashes go to
 every task in parts of bounded size, one pass over the documents for each part.
 """
 
@@ -115,44 +117,70 @@ def window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-class Index:
-    """The windows of some benchmark items, as templates (``telling`` ones, at least half words) and as plain tokens."""
+class Parsed:
+    """A text's template: codes, whether each is a slot, plain hashes, and the raw tokens [begin, stop) of each."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, codes: np.ndarray, slot: np.ndarray, plain: np.ndarray, raw: list[str], begin: np.ndarray, stop: np.ndarray):
+        self.codes, self.slot, self.plain, self.raw, self.begin, self.stop = codes, slot, plain, raw, begin, stop
+
+    def low(self, i: int) -> str:
+        return " ".join(self.raw[self.begin[i] : self.stop[i]]).lower()
+
+    def merged(self) -> Parsed | None:
+        """The same with names in a row, and numbers in a row, as one slot each; None if there are no such rows."""
+        c = self.codes
+        again = (c[1:] == c[:-1]) & ((c[1:] == _MARKS[NUMBER]) | (c[1:] == _MARKS[NAME])) & self.slot[1:] & (self.begin[1:] == self.stop[:-1])
+        if not again.any():
+            return None
+        at = np.flatnonzero(np.concatenate(([True], ~again)))
+        inside = np.arange(len(c)) - np.repeat(at, np.diff(np.concatenate((at, [len(c)]))))
+        with np.errstate(over="ignore"):
+            power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(int(inside.max()), _MULTIPLY))))
+            plain = np.add.reduceat(self.plain * power[inside], at)
+        return Parsed(c[at], self.slot[at], plain, self.raw, self.begin[at], np.concatenate((self.stop[at[1:] - 1], self.stop[-1:])))
+
+
+def parsed(text: str | None) -> Parsed:
+    codes, slot, raw, places, plain = _parse(text)
+    return Parsed(codes, slot, plain, raw, places, places + 1)
+
+
+class View:
+    """The windows of some parsed benchmark items, as templates (``telling`` ones, at least half words) and as plain tokens."""
+
+    def __init__(self, items: list[Parsed]):
         self.items = items
-        self.templates = [template(t) for _, t in items]
-        self.plain = [_parse(t)[4] for _, t in items]
+        self.lows = [{i: x.low(i) for i in np.flatnonzero(x.slot).tolist()} for x in items]
         where: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         self.windows, self.telling = [], []
-        for k, (codes, slot, _) in enumerate(self.templates):
-            n = min(WINDOW, len(codes))
+        for k, x in enumerate(items):
+            n = min(WINDOW, len(x.codes))
             found = 0
+            telling = np.zeros(0, bool)
             if n >= SHORTEST:
-                for p, (h, exact) in enumerate(zip(window_hashes(codes, n).tolist(), window_hashes(self.plain[k], n).tolist())):
-                    if 2 * int(slot[p : p + n].sum()) <= n:  # else almost any text with slots agrees
+                telling = np.array([2 * int(x.slot[p : p + n].sum()) <= n for p in range(len(x.codes) - n + 1)], bool)
+                for p, (h, exact) in enumerate(zip(window_hashes(x.codes, n).tolist(), window_hashes(x.plain, n).tolist())):
+                    if telling[p]:  # else almost any text with slots agrees
                         where[n][h].append((k, p))
                         found += 1
                     if exact != h:
                         where[n][exact].append((k, p))
             self.windows.append(found)
-            self.telling.append(np.array([2 * int(slot[p : p + n].sum()) <= n for p in range(len(codes) - n + 1)], bool) if n >= SHORTEST else np.zeros(0, bool))
+            self.telling.append(telling)
         self.where = {n: dict(x) for n, x in where.items()}
         self.seen = {}
         for n, x in self.where.items():
             self.seen[n] = np.zeros(1 << 20, bool)
             self.seen[n][np.array(list(x), np.uint64) & np.uint64((1 << 20) - 1)] = True
 
-    def __reduce__(self):
-        return Index, (self.items,)
-
-    def hits(self, text: str | None) -> list[tuple[int, float, int, bool]]:
-        """(item id, share of its windows found, longest run of tokens, whether every slot has its own value) of each item in ``text``."""
-        codes, slot, raw, places, plain = _parse(text)
-        typed = np.flatnonzero(slot)
+    def hits(self, doc: Parsed) -> dict[int, tuple[float, int, bool]]:
+        """(share of its windows found, longest run of tokens, whether every slot has its own value) of each item found."""
+        codes, plain = doc.codes, doc.plain
         chains: dict[tuple[int, int], tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))  # starts found as templates; all starts
         width: dict[int, int] = {}
+        slots = bool(doc.slot.any())
         for n, where in self.where.items():
-            for exact, h in enumerate((window_hashes(codes, n), window_hashes(plain, n))[: 1 + bool(len(typed))]):
+            for exact, h in enumerate((window_hashes(codes, n), window_hashes(plain, n))[: 1 + slots]):
                 for p in np.flatnonzero(self.seen[n][h & np.uint64((1 << 20) - 1)]).tolist():
                     for k, q in where.get(int(h[p]), ()):
                         chains[k, p - q][1].add(q)
@@ -161,12 +189,12 @@ class Index:
                         width[k] = n
         best: dict[int, tuple[float, int, bool]] = {}
         for (k, shift), (by_template, either) in chains.items():
-            item_codes, item_slot, item_low = self.templates[k]
+            item, low = self.items[k], self.lows[k]
             n = width[k]
             first = max(0, -shift)
-            last = min(len(item_codes), len(codes) - shift)
-            alike = item_codes[first:last] == codes[first + shift : last + shift]
-            verbatim = self.plain[k][first:last] == plain[first + shift : last + shift]
+            last = min(len(item.codes), len(codes) - shift)
+            alike = item.codes[first:last] == codes[first + shift : last + shift]
+            verbatim = item.plain[first:last] == plain[first + shift : last + shift]
             found = []  # (share, longest run, same) by templates alone, by both, and by verbatim copies alone
             for starts, agreeing in ((by_template, alike), (either, alike | verbatim)):
                 if not starts or starts is either and either == by_template and (alike | ~verbatim).all():
@@ -179,8 +207,8 @@ class Index:
                     if b - a >= n and any(q in starts and self.telling[k][q] for q in range(a, b - n + 1)):
                         covered += range(a, b)
                 for i in covered:
-                    if item_slot[i]:
-                        a, b = item_low[i], raw[places[i + shift]].lower()
+                    if item.slot[i]:
+                        a, b = low[i], doc.low(i + shift)
                         same &= a == b
                         ok &= maps.setdefault(a, b) == b and back.setdefault(b, a) == a
                 if not ok:
@@ -194,17 +222,47 @@ class Index:
                     found.append((share, longest, same))
             gaps = np.flatnonzero(np.concatenate(([False], verbatim, [False])) == 0)
             copied = int(np.diff(gaps).max()) - 1  # tokens of the longest verbatim stretch
-            if copied >= min(RUN, len(item_codes)):
-                found.append(((copied - n + 1) / (len(item_codes) - n + 1), copied, True))
+            if copied >= min(RUN, len(item.codes)):
+                found.append(((copied - n + 1) / (len(item.codes) - n + 1), copied, True))
             best[k] = max([best.get(k, (0.0, 0, False)), *found])
-        best = {k: v for k, v in best.items() if v[1]}
+        return {k: v for k, v in best.items() if v[1]}
+
+
+class Index:
+    """Some benchmark items (id, text), token by token and with rows of names and of numbers merged."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.items = items
+        flat = [parsed(t) for _, t in items]
+        rows = [x.merged() for x in flat]
+        self.flat = View(flat)
+        self.rows = any(x is not None for x in rows)
+        self.merged = View([x or y for x, y in zip(rows, flat)])
+        self.short: dict[tuple, list[int]] = defaultdict(list)
+        for k, x in enumerate(flat):
+            if 0 < len(x.codes) < SHORTEST:
+                self.short[tuple(x.plain.tolist())].append(k)
+
+    def __reduce__(self):
+        return Index, (self.items,)
+
+    def hits(self, text: str | None) -> list[tuple[int, float, int, bool]]:
+        """(item id, share of its windows found, longest run of tokens, whether every slot has its own value) of each item in ``text``."""
+        doc = parsed(text)
+        best = self.flat.hits(doc)
+        rows = doc.merged()
+        if rows is not None or self.rows:
+            for k, v in self.merged.hits(rows or doc).items():
+                best[k] = max(best.get(k, v), v)
+        if len(doc.codes) < SHORTEST:
+            best.update(dict.fromkeys(self.short.get(tuple(doc.plain.tolist()), ()), (1.0, len(doc.codes), True)))
         return [(self.items[k][0], *v) for k, v in sorted(best.items())]
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
     """The benchmark in parts of about PART_CHARS characters, each small enough to be sent to every task.
 
-    Items without an id or text, or with fewer than SHORTEST tokens, match nothing.
+    Items without an id or text, or without tokens, match nothing.
     """
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
