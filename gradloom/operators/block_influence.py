@@ -27,12 +27,9 @@ def precondition(train: DataFrame, inverses: dict[str, np.ndarray]) -> DataFrame
 
 def attribute(train: DataFrame, test: DataFrame, inverses: dict[str, np.ndarray]) -> DataFrame:
     """(train_id, test_id, score): sum over layers of <M g_i, g_j>."""
-    out = None
-    for name, m in inverses.items():
-        on = F.col("layer") == name
-        part = pairs.score_pairs(train.where(on).select("id", "g"), pairs.apply_matrix(test.where(on).select("id", "g"), "g", m.T), ["g"])
-        out = part if out is None else out.unionByName(part)
-    return out if len(inverses) == 1 else out.groupBy("train_id", "test_id").agg(F.sum("score").alias("score"))
+    trains = [train.where(F.col("layer") == name).select("id", "g") for name in inverses]
+    tests = [pairs.apply_matrix(test.where(F.col("layer") == name).select("id", "g"), "g", m.T) for name, m in inverses.items()]
+    return pairs.score_sum(trains, tests, ["g"], [pairs.dots] * len(trains), [1.0] * len(trains))
 
 
 def self_attribute(train: DataFrame, inverses: dict[str, np.ndarray]) -> DataFrame:

@@ -8,6 +8,7 @@ block.  Training rows are never shuffled, and the output is the only thing that
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of test representations that one pass sends to each task.
 BLOCK_BYTES = 32 << 20
+#: Partial sums that one task adds.
+FAN_IN = 16
 Score = Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]
 
 
@@ -34,11 +37,15 @@ def dots(train: list[np.ndarray], test: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def blocks(test: DataFrame, id_col: str, columns: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """The test rows in blocks of about BLOCK_BYTES, by a hash of their id."""
+def _block_count(test: DataFrame, columns: list[str]) -> int:
     sizes = [F.when(F.lit(True), F.size(c) if test.schema[c].dataType.typeName() == "array" else F.lit(1)) for c in columns]
     n, width = test.agg(F.count(F.lit(1)), F.max(sum(sizes[1:], sizes[0]))).first()
-    parts = max(1, -(-(n * (width or 1) * 8) // BLOCK_BYTES))
+    return max(1, -(-(n * (width or 1) * 8) // BLOCK_BYTES))
+
+
+def blocks(test: DataFrame, id_col: str, columns: list[str], parts: int | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The test rows in blocks of about BLOCK_BYTES, by a hash of their id."""
+    parts = parts or _block_count(test, columns)
     for k in range(parts):
         rows = test.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == k).select(id_col, *columns).toPandas().sort_values(id_col)
         yield rows[id_col].to_numpy(), [matrix(rows[c]) for c in columns]
@@ -69,6 +76,53 @@ def score_pairs(train: DataFrame, test: DataFrame, columns: list[str], score: Sc
     return out
 
 
+def score_sum(trains: list[DataFrame], tests: list[DataFrame], columns: list[str], scores: list[Score], weights: list[float], id_col: str = "id") -> DataFrame:
+    """(train_id, test_id, score): the weighted sum of the scores of several parts, checkpoints or layers.
+
+    ``trains`` and ``tests`` have a table for each part.  A training row's parts are brought together before it meets any test row, so
+    training representations are shuffled once and pairs never are.  Rows that share an id are summed.
+    """
+    if len(trains) == 1 and weights == [1]:
+        return score_pairs(trains[0], tests[0], columns, scores[0], id_col)
+    schema = f"train_id {trains[0].schema[id_col].dataType.simpleString()}, test_id {tests[0].schema[id_col].dataType.simpleString()}, score double"
+    tagged = reduce(DataFrame.unionByName, [t.select(id_col, F.lit(k).alias("part"), *columns) for k, t in enumerate(trains)])
+    tagged = tagged.repartition(id_col).sortWithinPartitions(id_col)
+    count = max(_block_count(t, columns) for t in tests) * len(tests)
+    out = None
+    for held in zip(*[blocks(t, id_col, columns, count) for t in tests]):
+        ids = np.unique(np.concatenate([h[0] for h in held]))
+        places = [np.searchsorted(ids, h[0]) for h in held]
+
+        def run(batches, ids=ids, held=held, places=places):
+            last, rest = None, None
+            emit = lambda who, m: pd.DataFrame({"train_id": np.repeat(who, len(ids)), "test_id": np.tile(ids, len(who)), "score": m.ravel()})
+            for b in batches:
+                step = max(1, 2_000_000 // max(1, len(ids)))
+                for s in range(0, len(b), step) if len(ids) else ():
+                    some = b.iloc[s : s + step]
+                    m = np.zeros((len(some), len(ids)))
+                    for k in some["part"].unique():
+                        rows = np.flatnonzero(some["part"].to_numpy() == k)
+                        scored = weights[k] * scores[k]([matrix(some.iloc[rows][c]) for c in columns], held[k][1])
+                        np.add.at(m, (rows[:, None], places[k][None, :]), scored)
+                    who = some[id_col].to_numpy()
+                    at = np.concatenate(([0], np.flatnonzero(who[1:] != who[:-1]) + 1))
+                    sums, who = np.add.reduceat(m, at, axis=0), who[at]
+                    if rest is not None and who[0] == last[0]:
+                        sums[0] += rest[0]
+                    elif rest is not None:
+                        yield emit(last, rest)
+                    if len(who) > 1:
+                        yield emit(who[:-1], sums[:-1])
+                    last, rest = who[-1:], sums[-1:]
+            if rest is not None:
+                yield emit(last, rest)
+
+        part = tagged.mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def self_scores(table: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
     """(train_id, score): each row's representation with itself."""
     from ..functions import vectors as V
@@ -106,22 +160,29 @@ def apply_matrix(table: DataFrame, column: str, m: np.ndarray) -> DataFrame:
 
 
 def partial_matrix(table: DataFrame, columns: list[str], part: Callable[[list[np.ndarray]], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """Sum of ``part`` over the table's batches: each task sends one partial sum of the model's size, which are added in a tree."""
+    """Sum of ``part`` over the table's batches: each task sends one partial sum of the model's size.
+
+    These are added in a tree, FAN_IN neighbours to a task at each level, until the driver adds the last FAN_IN at most.
+    """
     n = int(np.prod(shape))
 
     def run(batches):
+        from pyspark import TaskContext
+
         acc = np.zeros(n)
         for b in batches:
             if len(b):
                 acc += np.asarray(part([matrix(b[c]) for c in columns]), np.float64).ravel()
-        yield pd.DataFrame({"v": [acc]})
+        yield pd.DataFrame({"k": [TaskContext.get().partitionId() // FAN_IN], "v": [acc]})
 
     def merge(pdf):
-        return pd.DataFrame({"v": [np.sum(np.stack(pdf["v"].tolist()), axis=0)]})
+        return pd.DataFrame({"k": pdf["k"].iloc[:1] // FAN_IN, "v": [np.sum(np.stack(pdf["v"].tolist()), axis=0)]})
 
-    sums = table.select(*columns).mapInPandas(run, "v array<double>")
-    tree = sums.groupBy(F.pmod(F.monotonically_increasing_id(), F.lit(16)).alias("k")).applyInPandas(merge, "v array<double>")
-    rows = tree.collect()
+    tree, left = table.select(*columns).mapInPandas(run, "k long, v array<double>"), table.rdd.getNumPartitions()
+    while left > FAN_IN:
+        tree = tree.groupBy("k").applyInPandas(merge, "k long, v array<double>")
+        left = -(-left // FAN_IN)
+    rows = tree.select("v").collect()
     return np.sum([r.v for r in rows], axis=0).reshape(shape) if rows else np.zeros(shape)
 
 

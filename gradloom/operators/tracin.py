@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +19,13 @@ def _cosine(train, test):
 def tracin(task: SoftmaxTask, train: DataFrame, test: DataFrame, weights: list[float], cosine: bool = False) -> DataFrame:
     """(train_id, test_id, score): sum over checkpoints of weight times the gradients' inner product (or cosine).
 
-    A weight for each checkpoint.  One pass over the training rows for each checkpoint and block of test rows.
+    A weight for each checkpoint.  A training row's gradients at all checkpoints meet each block of test rows together.
     """
     if len(weights) != len(task.checkpoints):
         raise ValueError("a weight is needed for each checkpoint")
     score = _cosine if cosine else pairs.dots
-    parts = [pairs.score_pairs(task.reps(train, k), task.reps(test, k), ["e", "x"], score).withColumn("score", F.col("score") * w) for k, w in enumerate(weights)]
-    if len(parts) == 1:
-        return parts[0]
-    return reduce(DataFrame.unionByName, parts).groupBy("train_id", "test_id").agg(F.sum("score").alias("score"))
+    n = range(len(weights))
+    return pairs.score_sum([task.reps(train, k) for k in n], [task.reps(test, k) for k in n], ["e", "x"], [score for _ in n], list(weights))
 
 
 def grad_dot(task: SoftmaxTask, train: DataFrame, test: DataFrame) -> DataFrame:

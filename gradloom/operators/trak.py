@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pairs
+from .store import materialize
 
 
 def kernel_inverse(train: DataFrame, width: int, regularization: float = 0.0) -> np.ndarray:
@@ -22,12 +23,10 @@ def trak(trains: list[DataFrame], tests: list[DataFrame], correct: list[DataFram
     ``correct``: (id, p) of the training rows under each checkpoint.  The score is
     the mean over checkpoints of <h_j, K^-1 g_i>, times the mean of 1 - p_i.
     """
-    parts = []
-    for a, b in zip(trains, tests):
-        k = kernel_inverse(a, width, regularization)
-        parts.append(pairs.score_pairs(a, pairs.apply_matrix(b.select("id", "g"), "g", k.T), ["g"]))
-    kernel = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy("train_id", "test_id").agg(F.avg("score").alias("score"))
-    return kernel.join(_doubt(correct), "train_id").select("train_id", "test_id", (F.col("score") * F.col("q")).alias("score"))
+    doubt = materialize(_doubt(correct), "doubt")
+    held = [pairs.apply_matrix(b.select("id", "g"), "g", kernel_inverse(a, width, regularization).T) for a, b in zip(trains, tests)]
+    weighted = [a.join(doubt, a["id"] == doubt["train_id"]).select(a["id"], F.transform("g", lambda v: v * F.col("q")).alias("g")) for a in trains]
+    return pairs.score_sum(weighted, held, ["g"], [pairs.dots] * len(held), [1 / len(held)] * len(held))
 
 
 def _doubt(correct: list[DataFrame]) -> DataFrame:

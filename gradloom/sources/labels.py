@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators.store import materialize
 
 
 def standardize(df: DataFrame, column: str, mean: float, deviation: float) -> DataFrame:
@@ -27,7 +28,7 @@ def select_ids(df: DataFrame, ids: DataFrame, id_col: str = "id", order: bool =
 
 
 def smallest_hashes(df: DataFrame, want: int, h: str, id_col: str):
-    """Condition that holds for the ``want`` rows of smallest 32-bit hash ``h``, equal hashes by id.
+    """Condition that holds for the ``want`` rows of smallest 32-bit hash ``h``, equal hashes by id; ids must be unique.
 
     The cut is found from counts of hash prefixes, at most 4096 of them a pass; only rows of one single hash are ever collected.
     """
@@ -51,9 +52,14 @@ def smallest_hashes(df: DataFrame, want: int, h: str, id_col: str):
 def flip_labels(df: DataFrame, p: float, classes: int, seed: int = 0, label: str = "label", id_col: str = "id") -> DataFrame:
     """``df`` with columns flipped and new_label: exactly int(p n) rows, those of the smallest hashes, get another label each."""
     h = df.withColumn("_h", V.hash32(F.lit(seed), id_col))
-    chosen = smallest_hashes(h, int(p * df.count()), "_h", id_col)
+    key = id_col
+    if not h.groupBy(id_col).count().where("count > 1").isEmpty():
+        # rows that share an id are chosen apart, by their place in a table written once
+        h, key = materialize(h.withColumn("_place", F.monotonically_increasing_id()), "flip"), "_place"
+        h = h.withColumn("_h", V.hash32(F.lit(seed), id_col, key))
+    chosen = smallest_hashes(h, int(p * df.count()), "_h", key)
     other = F.pmod(F.col(label) + 1 + F.pmod(V.hash32(F.lit(seed), F.lit("to"), id_col), F.lit(classes - 1)), F.lit(classes)).cast(df.schema[label].dataType)
-    return h.withColumn("flipped", chosen).withColumn("new_label", F.when(F.col("flipped"), other).otherwise(F.col(label))).drop("_h")
+    return h.withColumn("flipped", chosen).withColumn("new_label", F.when(F.col("flipped"), other).otherwise(F.col(label))).drop("_h", "_place")
 
 
 def hash_batches(df: DataFrame, batches: int, seed: int = 0, id_col: str = "id") -> DataFrame:

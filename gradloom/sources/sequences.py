@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 def char_vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
     """(ch, id): the distinct characters in order of code point, numbered from 0; a bounded table."""
-    chars = df.select(F.explode(F.split(F.col(text), "")).alias("ch")).where("ch != ''").distinct()
+    chars = df.select(F.explode(F.array_distinct(F.split(F.col(text), ""))).alias("ch")).where("ch != ''").distinct()
     return chars.select("ch", (F.row_number().over(Window.orderBy(F.ascii("ch"), "ch")) - 1).alias("id"))
 
 

@@ -258,3 +258,40 @@ def test_factgrass_is_mask_then_hash():
     assert got.shape == (5, 4) and np.allclose(got, want)
     with pytest.raises(ValueError):
         projections.factgrass(10, 12, 3, 4)
+
+
+def test_partial_sums_are_added_in_a_tree(spark, monkeypatch):
+    from gradloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "FAN_IN", 3)
+    table = spark.range(0, 240, 1, 24).selectExpr("array(double(id), 1d) as v")
+    got = pairs.partial_matrix(table, ["v"], lambda c: c[0].sum(axis=0), (2,))
+    assert got.tolist() == [240 * 239 / 2, 240]
+    empty = table.where("false")
+    assert pairs.partial_matrix(empty, ["v"], lambda c: c[0].sum(axis=0), (2,)).tolist() == [0, 0]
+
+
+def test_sums_of_parts_shuffle_no_pairs(spark):
+    import numpy as np
+
+    from gradloom.operators import pairs
+
+    r = np.random.default_rng(1)
+    tables, values = [], []
+    for n in (30, 7, 30, 7):
+        values.append(r.normal(size=(n, 3)))
+        tables.append(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values[-1])], "id long, g array<double>"))
+    got = pairs.score_sum(tables[::2], tables[1::2], ["g"], [pairs.dots] * 2, [0.5, 2.0])
+    want = 0.5 * values[0] @ values[1].T + 2 * values[2] @ values[3].T
+    rows = got.collect()
+    assert len(rows) == 210 and all(abs(x.score - want[x.train_id, x.test_id]) < 1e-12 for x in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInPandas") < plan.index("Exchange")
+
+
+def test_flips_with_repeated_ids(spark):
+    from gradloom.sources.labels import flip_labels
+
+    rows = [(1, i % 10) for i in range(100)]
+    got = flip_labels(spark.createDataFrame(rows, "id long, label int"), 0.1, 10).collect()
+    assert sum(x.flipped for x in got) == 10 and all((x.label != x.new_label) == x.flipped for x in got)
