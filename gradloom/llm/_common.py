@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); one is made only where none is set, as in tests."""
+    """The folder that all executors share (``spark.checkpoint.dir``); one is made only on a local master where none is set, as in tests."""
     at = spark.sparkContext.getCheckpointDir()
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gradloom-"))
         at = spark.sparkContext.getCheckpointDir()
     return at
