@@ -43,6 +43,8 @@ _ODD = 0xD6E8FEB86659FD93
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 REQUEST = "block string, shard int, keys binary, own binary"
 SENT = "block string, shard int, data binary"
+#: Added to the class of a suffix's first token where its key is split over several shards.
+SPLIT = 64
 
 
 def tokens(text: str | None) -> list[int]:
@@ -387,8 +389,47 @@ def continued(array: SuffixArray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def trigrams(array: SuffixArray, first: np.ndarray) -> bytes | None:
+    """Of a shard's share of split keys, for each key and next token: class of the first token, suffixes, those that go on to a fourth token, and those of them whose fourth token occurs there elsewhere.
+
+    Equal suffixes of four tokens are never split, so these numbers add up over the shards.
+    """
+    some = np.flatnonzero((first >= SPLIT) & (first < 255))
+    if not len(some):
+        return None
+    key, token, weight = array.key[some], array.columns[some, 0].astype(np.int64), np.diff(array.sums)[some]
+    on = weight * (array.columns[some, 1] > 0)
+    at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (token[1:] != token[:-1]))))
+    return pickle.dumps([_pack(x) for x in (key[at], token[at], first[some][at] - SPLIT, *(np.add.reduceat(x, at) for x in (weight, on, on * (array.runs(2)[some] > 1))))])
+
+
+def split_sums(answers: DataFrame) -> np.ndarray:
+    """The sums of ``continued`` for the keys that are split, from all shards' trigrams."""
+    spark, out = answers.sparkSession, np.zeros((LENGTHS, COUNTS, 2))
+    names = ["key", "token", "first", "n", "on", "again"]
+
+    def rows(batches):
+        import pandas as pd
+
+        for b in batches:
+            for x in b["split"]:
+                yield pd.DataFrame({k: _unpack(v).astype(np.uint64).view(np.int64) for k, v in zip(names, pickle.loads(x))})
+
+    each = answers.where("split is not null").select("split").mapInPandas(rows, ", ".join(f"{k} long" for k in names))
+    three = materialize(each.groupBy("key", "token").agg(F.max("first").alias("first"), *(F.sum(k).alias(k) for k in names[3:])), "ngram-split")
+    size = lambda k: F.least(F.length(F.bin(F.col(k) - 1)) - 1, F.lit(COUNTS - 1))
+    two = three.groupBy("key").agg(F.max("first").alias("first"), F.sum("n").alias("all"), F.sum(F.expr("if(token > 0, n, 0)")).alias("n"), F.sum(F.expr("if(token > 0 and n > 1, n, 0)")).alias("again"))
+    one = two.where("first > 0").groupBy((F.col("first") - 1).alias("k")).agg(F.sum(F.expr("if(all > 1, all, 0)")), F.sum("all"))
+    for d, df in enumerate((one, two.where("all > 1").groupBy(size("all").alias("k")).agg(F.sum("again"), F.sum("n")), three.where("n > 1").groupBy(size("n").alias("k")).agg(F.sum("again"), F.sum("on")))):
+        for k, again, n in df.collect():
+            out[d, k] = again, n
+    for p in files_of(three):
+        drop_path(spark, p)
+    return out
+
+
 def search_shards(sent: DataFrame, r: int) -> DataFrame:
-    """(block, shard, data, sums): the answers to each block's queries; at level 0 also which of its suffixes a query matches to their end, and on one row of a shard the trust sums."""
+    """(block, shard, data, sums, split): the answers to each block's queries; at level 0 also which of its suffixes a query matches to their end, and on one row of a shard the trust sums and split keys' trigrams."""
 
     def run(pdf):
         import pandas as pd
@@ -414,12 +455,13 @@ def search_shards(sent: DataFrame, r: int) -> DataFrame:
             matched = _mix(_mix(key(d, "key"), columns(d, "columns")[:, 0].astype(np.uint64)), columns(d, "columns")[:, 1].astype(np.uint64))[deep[c : c + m]] if r == 0 else np.zeros(0, np.uint64)
             out.append(pickle.dumps((_pack(depths[a : a + n]), _pack(counts[b : b + size]), _pack(matched))))
             a, b, c = a + n, b + size, c + m
-        sums = [None] * len(pdf)
+        sums, split = [None] * len(pdf), [None] * len(pdf)
         if r == 0:
-            sums[0] = continued(array, np.concatenate([d["first"] for d in got])[array.order]).ravel()
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "data": out, "sums": sums})
+            first = np.concatenate([d["first"] for d in got])[array.order]
+            sums[0], split[0] = continued(array, np.where(first < SPLIT, first, 255)).ravel(), trigrams(array, first)
+        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "data": out, "sums": sums, "split": split})
 
-    return _by_shard(sent, run, f"{SENT}, sums array<double>")
+    return _by_shard(sent, run, f"{SENT}, sums array<double>, split binary")
 
 
 def _shard_of(key: np.ndarray, salt: np.ndarray, shards: int) -> np.ndarray:
@@ -457,7 +499,7 @@ def send(b: Block, r: int, index: np.ndarray, asking: np.ndarray, parts_of, shar
     first = np.zeros(len(index), np.uint8)
     if r == 0:
         n = b.count[index]
-        first = np.where(parts > 1, 255, np.where(n > 1, 1 + _size_class(n - 1), 0)).astype(np.uint8)
+        first = (np.where(n > 1, 1 + _size_class(n - 1), 0) + np.where(parts > 1, SPLIT, 0)).astype(np.uint8)
     out = []
     for s in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(ask_cuts) > 0)):
         i, j = order[cuts[s] : cuts[s + 1]], who[ask_order[ask_cuts[s] : ask_cuts[s + 1]]]
@@ -577,7 +619,7 @@ def _by_block(answers: DataFrame, folder: str, run, schema: str) -> DataFrame:
 def hot_keys(blocks: DataFrame, folder: str) -> dict[int, int]:
     """Level 0's keys with more suffixes than half a shard, and in how many parts they are split; counted on one start in SAMPLE.
 
-    There are at most 2 / SHARD as many as tokens in the corpus, so they fit a closure.  The trust sums leave these keys out, as no shard has all of their counts.
+    There are at most 2 / SHARD as many as tokens in the corpus, so they fit a closure.  As no shard has all of their counts, their trust sums are added up from all shards' (``split_sums``): results don't depend on what is split.
     """
     limit = SHARD // 2
 
@@ -651,6 +693,8 @@ def score_table(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "
         sums = np.zeros(LENGTHS * COUNTS * 2)
         for x in answers.where("sums is not null").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect():
             sums[x.k] = x.v
+        if hot:
+            sums += split_sums(answers).ravel()
         r = 0
         while not answers.isEmpty():
 

@@ -91,6 +91,17 @@ def test_against_brute_force(spark, monkeypatch, split):
     assert np.mean(scores) > 0
 
 
+def test_split_keys_change_no_result(spark, monkeypatch):
+    """Keys split over shards count in the trust sums like all others."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hot = {(b"the", b"the"): 3, (b"a", b"a"): 2, (b"the", b"of"): 4, (b"of", b"x1"): 2}
+    monkeypatch.setattr(N, "hot_keys", lambda blocks, folder: {key_of(*k): n for k, n in hot.items()})
+    got, want = sorted(tuple(x) for x in N.score_folds(docs).collect()), brute(rows)
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert [(a, b) for a, b in zip(got, want) if not np.allclose(a[5:], b[5:], rtol=1e-9)] == []
+
+
 def test_matches_of_every_length(spark):
     """Held-out texts that leave a training passage after 1 to 100 tokens, each prefix of which occurs in several texts."""
     r = random.Random(4)
