@@ -428,6 +428,60 @@ def split_sums(answers: DataFrame) -> np.ndarray:
     return out
 
 
+def _pairs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """One key for each two words, in their order where all numbers have 32 bits."""
+    one, two = one.astype(np.uint64), two.astype(np.uint64)
+    return one << np.uint64(32) | two
+
+
+def _four(words: np.ndarray) -> np.ndarray:
+    """Keys of rows of four words."""
+    a, b, c, d = words.T.astype(np.uint64)
+    return _mix(_mix(_mix(a, b), c), d)
+
+
+def _wide(words: np.ndarray) -> bool:
+    return bool(words.size) and int(words.max()) >> 32 > 0
+
+
+def pack_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of four words, best in order: the first two as differences of pairs (one number a row, or two where numbers are wide), the last two column by column."""
+    head = words[:, :2].T.ravel() if _wide(words[:, :2]) else np.diff(_pairs(words[:, 0], words[:, 1]), prepend=np.uint64(0))
+    return head, words[:, 2:].T.ravel()
+
+
+def unpack_words(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    n = len(tail) // 2
+    out = np.empty((n, 4), np.uint64)
+    if len(head) == n:
+        pair = np.cumsum(head.astype(np.uint64), dtype=np.uint64)
+        out[:, 0], out[:, 1] = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
+    else:
+        out[:, :2] = head.reshape(2, -1).T
+    out[:, 2:] = tail.reshape(2, -1).T
+    return out
+
+
+def stretches(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the union of the stretches [begin, end) of a text, and each stretch's place among them; later stretches end no earlier."""
+    order = np.argsort(begin, kind="stable")
+    a, e = begin[order], end[order]
+    gap = np.maximum(a[1:] - e[:-1], 0)
+    new = np.concatenate(([True], gap > 0))[: len(a)]
+    last = np.concatenate((new[1:], [True]))[: len(a)]
+    lens = e[last] - a[new]
+    place = np.empty(len(a), np.int64)
+    place[order] = a - a[:1] - np.concatenate(([0], np.cumsum(gap)))[: len(a)]
+    return np.repeat(a[new], lens) + _ragged(lens), place
+
+
+def _laid(text: np.ndarray, place: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``width`` tokens of a text from each place on, zero after ``size`` tokens."""
+    where = place[:, None] + np.arange(width)
+    inside = np.arange(width) < size[:, None]
+    return np.where(inside, text[np.minimum(where, len(text) - 1)], text.dtype.type(0)) if len(text) else np.zeros(where.shape, text.dtype)
+
+
 def search_shards(sent: DataFrame, r: int) -> DataFrame:
     """(block, shard, data, sums, split): the answers to each block's queries; at level 0 also which of its suffixes a query matches to their end, and on one row of a shard the trust sums and split keys' trigrams."""
 
@@ -435,13 +489,20 @@ def search_shards(sent: DataFrame, r: int) -> DataFrame:
         import pandas as pd
 
         got = [{k: _unpack(v) for k, v in pickle.loads(d).items()} for d in pdf["data"]]
-        width = level(r)[1]
-        key = lambda d, k: np.cumsum(d[k].astype(np.uint64), dtype=np.uint64) if k == "key" else d[k].astype(np.uint64)
-        columns = lambda d, k: d[k].reshape(width, -1).T
-        kind = np.uint64 if any(d[k].dtype == np.uint64 for d in got for k in ("columns", "asked_columns")) else np.uint32
-        array = SuffixArray(np.concatenate([key(d, "key") for d in got]), np.concatenate([columns(d, "columns").astype(kind) for d in got]), np.concatenate([d["weight"].astype(np.int64) for d in got]))
-        sizes = [len(d["asked"]) for d in got]
-        depths, counts, lo, hi = array.search(np.concatenate([key(d, "asked") for d in got]), np.concatenate([columns(d, "asked_columns").astype(kind) for d in got]))
+        width, sizes = level(r)[1], [len(d["asked_size"]) for d in got]
+        if r == 0:
+            words, asked = (np.concatenate([unpack_words(d[k], d[f"{k}_next"]) for d in got]) for k in ("words", "asked"))
+            wide = _wide(words) or _wide(asked)
+            key, ask = (_mix(x[:, 0], x[:, 1]) if wide else _pairs(x[:, 0], x[:, 1]) for x in (words, asked))
+            columns, asked_columns = (x[:, 2:].astype(np.uint64 if wide else np.uint32) for x in (words, asked))
+        else:
+            kind = np.uint64 if any(d["text"].dtype == np.uint64 for d in got) else np.uint32
+            keys = [np.cumsum(d["keys"].astype(np.uint64), dtype=np.uint64) for d in got]
+            key, ask = (np.concatenate([k[d[x]] for k, d in zip(keys, got)]) for x in ("key", "asked"))
+            columns, asked_columns = (np.concatenate([_laid(d["text"].astype(kind), np.cumsum(d[f"{x}place"].astype(np.uint64), dtype=np.uint64).astype(np.int64), d[f"{x}size"], width) for d in got]) for x in ("", "asked_"))
+        array = SuffixArray(key, columns, np.concatenate([d["weight"].astype(np.int64) for d in got]))
+        del columns
+        depths, counts, lo, hi = array.search(ask, asked_columns)
         deep = np.zeros(len(array.key), bool)
         if r == 0:
             full = depths == width + 1
@@ -452,7 +513,7 @@ def search_shards(sent: DataFrame, r: int) -> DataFrame:
         out, a, b, c = [], 0, 0, 0
         for d, n in zip(got, sizes):
             m, size = len(d["weight"]), int(depths[a : a + n].sum())
-            matched = _mix(_mix(key(d, "key"), columns(d, "columns")[:, 0].astype(np.uint64)), columns(d, "columns")[:, 1].astype(np.uint64))[deep[c : c + m]] if r == 0 else np.zeros(0, np.uint64)
+            matched = _four(words[c : c + m][deep[c : c + m]]) if r == 0 else np.zeros(0, np.uint64)
             out.append(pickle.dumps((_pack(depths[a : a + n]), _pack(counts[b : b + size]), _pack(matched))))
             a, b, c = a + n, b + size, c + m
         sums, split = [None] * len(pdf), [None] * len(pdf)
@@ -481,7 +542,7 @@ def send(b: Block, r: int, index: np.ndarray, asking: np.ndarray, parts_of, shar
     at = np.flatnonzero(np.concatenate(([True], span[order[1:]] != span[order[:-1]]))[: len(order)])
     weight = np.diff(np.concatenate((at, [len(order)])))
     index, key, span = index[order[at]], key[order[at]], span[order[at]]
-    columns = b.columns(index, depth, width) if r == 0 else None
+    words, asked = (b.columns(x, 0, 4) for x in (index, asking)) if r == 0 else (None, None)
     some = place = np.arange(len(asking))
     if r:
         _, some, place = np.unique(b.spans(asking, depth + width), return_index=True, return_inverse=True)
@@ -493,7 +554,12 @@ def send(b: Block, r: int, index: np.ndarray, asking: np.ndarray, parts_of, shar
     shard, ask_shard = _shard_of(key, salt, shards), _shard_of(ask[who], _ragged(ask_parts), shards)
     if len(who) > len(unique):  # parts of a key that share a shard are asked there once
         who, ask_shard = np.divmod(np.unique(who * shards + ask_shard), shards)
-    order, ask_order = np.argsort(_small(shard), kind="stable"), np.argsort(_small(ask_shard), kind="stable")
+    if r == 0 and not _wide(b.number):
+        pair, ask_pair = _pairs(words[:, 0], words[:, 1]), _pairs(asked[:, 0], asked[:, 1])
+        order = np.argsort(pair, kind="stable")
+        order, ask_order = order[np.argsort(_small(shard[order]), kind="stable")], np.lexsort((ask_pair[who], ask_shard))
+    else:
+        order, ask_order = np.argsort(_small(shard), kind="stable"), np.argsort(_small(ask_shard), kind="stable")
     cuts, ask_cuts = (np.searchsorted(x, np.arange(shards + 1)) for x in (shard[order], ask_shard[ask_order]))
     _save(f"{b.folder}/order-{r}", b.name, who=who[ask_order])
     first = np.zeros(len(index), np.uint8)
@@ -503,10 +569,19 @@ def send(b: Block, r: int, index: np.ndarray, asking: np.ndarray, parts_of, shar
     out = []
     for s in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(ask_cuts) > 0)):
         i, j = order[cuts[s] : cuts[s + 1]], who[ask_order[ask_cuts[s] : ask_cuts[s + 1]]]
-        q = unique[j]
-        i = i[np.argsort(key[i], kind="stable")]
-        held = columns[i] if r == 0 else b.columns(index[i], depth, width)
-        data = {"key": np.diff(key[i], prepend=np.uint64(0)), "columns": held.T.ravel(), "weight": weight[i], "first": first[i], "asked": ask[j], "asked_columns": b.columns(q, depth, width).T.ravel()}
+        if r == 0:
+            (head, tail), (ask_head, ask_tail) = pack_words(words[i]), pack_words(asked[j])
+            data = {"words": head, "words_next": tail, "first": first[i], "asked": ask_head, "asked_next": ask_tail, "asked_size": np.zeros(len(j), np.uint8)}
+        else:
+            i = i[np.argsort(index[i])]
+            keys, which = np.unique(np.concatenate((key[i], ask[j])), return_inverse=True)
+            begin = np.concatenate((index[i], unique[j])) + depth
+            end = np.minimum(begin + width, b.end[begin - depth])
+            text, at = stretches(begin, end)
+            size, n = end - begin, len(i)
+            places = (np.diff(x, prepend=0).view(np.uint64) for x in (at[:n], at[n:]))
+            data = {"keys": np.diff(keys, prepend=np.uint64(0)), "key": which[:n], "asked": which[n:], "text": b.number[text], "size": size[:n], "asked_size": size[n:]} | dict(zip(("place", "asked_place"), places))
+        data["weight"] = weight[i]
         out.append((b.name, int(s), pickle.dumps({k: _pack(v) for k, v in data.items()})))
     return out
 
@@ -706,8 +781,7 @@ def score_table(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "
                 else:
                     b.numbered()
                     index = np.flatnonzero(b.train & (b.end - np.arange(len(b.h)) > 4))
-                    two = b.columns(index, 2, 2).astype(np.uint64)
-                    index = index[_among(_mix(_mix(b.spans(index, 2), two[:, 0]), two[:, 1]), np.unique(matched))]
+                    index = index[_among(_four(b.columns(index, 0, 4)), np.unique(matched))]
                 asking = going_on(b, a)
                 return ask_keys(b, r + 1, index, asking, shards)
 

@@ -96,6 +96,8 @@ def test_split_keys_change_no_result(spark, monkeypatch):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     hot = {(b"the", b"the"): 3, (b"a", b"a"): 2, (b"the", b"of"): 4, (b"of", b"x1"): 2}
+    monkeypatch.setattr(N, "SHARD", 100)
+    monkeypatch.setattr(N, "SHARD_BYTES", 256)
     monkeypatch.setattr(N, "hot_keys", lambda blocks, folder: {key_of(*k): n for k, n in hot.items()})
     got, want = sorted(tuple(x) for x in N.score_folds(docs).collect()), brute(rows)
     assert [x[:5] for x in got] == [x[:5] for x in want]
@@ -152,3 +154,35 @@ def test_keys_stand_for_grams():
         assert len(np.unique(k)) == 3 and k[0] == k[3] == k[len(k) // 2 + 1]
     ends = b.spans(np.arange(150, 200), 64)  # what is left of a document
     assert len(np.unique(ends)) == 50 and (ends[-2:] == [key_of("0", "1"), key_of("1")]).all()
+
+
+def test_deep_suffixes_share_their_text(tmp_path):
+    """Overlapping suffixes of a deep level travel as one stretch of text: bytes in proportion to the tokens, not to tokens times width."""
+    r = random.Random(7)
+    b = block_of([r.getrandbits(64) for _ in range(3000)], 1800, 1200)
+    b.folder, b.name = f"file://{tmp_path}", "0-0"
+    b.number = np.array([r.randrange(1, 1 << 20) for _ in range(3000)])
+    depth, width = N.level(3)
+    at = np.flatnonzero(b.left(np.arange(3000)) > depth)
+    rows = N.send(b, 3, at, at[::7], lambda k: np.ones(len(k), np.int64), 1)
+    assert sum(len(d) for *_, d in rows) < 30 * 3000
+
+
+def test_stretches():
+    r = random.Random(9)
+    for _ in range(30):
+        text = np.array([r.randrange(1, 9) for _ in range(60)], np.uint32)
+        begin = np.array([r.randrange(55) for _ in range(r.randrange(12))], np.int64)
+        end = np.minimum(begin + 7, 20 * (begin // 20 + 1))
+        where, place = N.stretches(begin, end)
+        laid = N._laid(text[where], place, end - begin, 7)
+        assert [list(x) for x in laid] == [[*text[a:e], *[0] * (7 - e + a)] for a, e in zip(begin, end)]
+        assert len(where) == len(set(where))
+
+
+@pytest.mark.parametrize("top", [9, 1 << 31, 1 << 40])
+def test_words_are_packed_without_loss(top):
+    r = random.Random(3)
+    for n in (0, 1, 50):
+        words = np.array(sorted([r.randrange(1, top) for _ in range(4)] for _ in range(n)), np.int64).reshape(n, 4)
+        assert (N.unpack_words(*(N._unpack(N._pack(x)) for x in N.pack_words(words))) == words).all()
