@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import xxhash
@@ -73,20 +73,24 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Bytes of whole numbers from zero on, place by place, compressed."""
+@cache
+def _zstd() -> tuple:
+    """This process's compressor and decompressor: making them costs more than a small array."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes of whole numbers from zero on, place by place, compressed."""
     x = np.ascontiguousarray(_small(x))
     planes = x.data if x.itemsize == 1 else np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).data
-    return x.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(planes)
+    return x.dtype.char.encode() + _zstd()[0].compress(planes)
 
 
 def _unpack(x: bytes) -> np.ndarray:
-    import zstandard
-
     kind = np.dtype(bytes(x[:1]).decode())
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(x[1:])), np.uint8)
+    flat = np.frombuffer(_zstd()[1].decompress(bytes(x[1:])), np.uint8)
     return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
@@ -125,16 +129,26 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], place
 
 
-def _requests(block: str, distinct: np.ndarray, place: np.ndarray, train: np.ndarray, shards: int) -> list[tuple]:
-    """Rows that ask for the corpus counts of keys, one for each shard: what the block's training tokens add, and whether its held-out tokens ask.
+def _own(distinct: np.ndarray, place: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """Of each distinct key, twice the training tokens that have it, and one more if a held-out token does.
 
     ``place`` is each asking token's key among the distinct ones, ``train`` whether it trains.
     """
     own = np.bincount(place[train], minlength=len(distinct)) * 2
     own[place[~train]] |= 1
+    return own
+
+
+def _requests(block: str, distinct: np.ndarray, own: np.ndarray, shards: int) -> list[tuple]:
+    """Rows that ask for the corpus counts of keys, one for each shard: what the block's training tokens add, and whether its held-out tokens ask."""
     shard = ((distinct >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
     cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-    return [(block, s, _pack_rising(distinct[a:b]), _pack(own[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    return [(block, int(s), _pack_rising(distinct[cuts[s] : cuts[s + 1]]), _pack(own[cuts[s] : cuts[s + 1]])) for s in np.flatnonzero(np.diff(cuts))]
+
+
+def shards_for(entries: int, most: int | None = None) -> int:
+    """Shards for so many keys of blocks: as rows number blocks times shards, no more of them than the keys need."""
+    return int(min(max(8, -(-2 * entries // SHARD)), most or 1 << 31))
 
 
 def _frame(rows: list[tuple]):
@@ -143,13 +157,14 @@ def _frame(rows: list[tuple]):
     return pd.DataFrame(rows, columns=["block", "shard", "keys", "own"])
 
 
-def write_blocks(docs: DataFrame, folder: str, shards: int) -> DataFrame:
-    """Write blocks of (id, text, held) as files; their requests for the counts of their distinct tokens.
+def write_blocks(docs: DataFrame, folder: str) -> DataFrame:
+    """(block, words): write blocks of (id, text, held) as files; the distinct words of each.
 
     A block is named after its partition and its place there, so that a repeated attempt makes the same blocks.
     """
 
     def run(batches):
+        import pandas as pd
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
@@ -163,10 +178,10 @@ def write_blocks(docs: DataFrame, folder: str, shards: int) -> DataFrame:
             null = np.array([i is None for i in ids], bool)
             known = np.array([0 if i is None else i for i in ids], np.int64)
             _save(folder, name, words=np.diff(words, prepend=np.uint64(0)), place=place, n=n, held=held, id=known.view(np.uint64), null=null)
-            rows = _requests(name, words, place, ~np.repeat(held, n), shards)
+            _save(f"{folder}/asks", name, words=np.diff(words, prepend=np.uint64(0)), own=_own(words, place, ~np.repeat(held, n)))
             for x in (ids, flat, sizes, flags):
                 x.clear()
-            return _frame(rows)
+            return pd.DataFrame({"block": [name], "words": [len(words)]})
 
         for b in batches:
             for i, text, held in zip(b["id"], b["text"], b["held"]):
@@ -181,7 +196,19 @@ def write_blocks(docs: DataFrame, folder: str, shards: int) -> DataFrame:
         if sizes:
             yield close()
 
-    return docs.mapInPandas(run, REQUEST)
+    return docs.mapInPandas(run, "block string, words long")
+
+
+def ask_words(blocks: DataFrame, folder: str, shards: int) -> DataFrame:
+    """The blocks' requests for the counts of their distinct words."""
+
+    def run(batches):
+        for b in batches:
+            for name in b["block"]:
+                had = _read(f"{folder}/asks", name)
+                yield _frame(_requests(name, np.cumsum(had["words"].astype(np.uint64), dtype=np.uint64), had["own"], shards))
+
+    return _spread(blocks, "block").mapInPandas(run, REQUEST)
 
 
 class Block:
@@ -202,9 +229,21 @@ class Block:
 
     def numbered(self) -> Block:
         found = _read(f"{self.folder}/words", self.name)
-        self.number, self.count = found["number"].astype(np.int64)[self.place], found["count"].astype(np.int64)[self.place]
+        self._numbers = found["number"].astype(np.int64), found["count"].astype(np.int64)
         return self
 
+    @cached_property
+    def number(self) -> np.ndarray:
+        return self._numbers[0][self.place]
+
+    @cached_property
+    def count(self) -> np.ndarray:
+        return self._numbers[1][self.place]
+
+    def text(self, at: np.ndarray) -> np.ndarray:
+        """The numbers at positions."""
+        return self.number[at] if "number" in self.__dict__ else self._numbers[0][self.place[at]]
+
     def left(self, at: np.ndarray) -> np.ndarray:
         """Tokens of its document from each position on."""
         return self.end[at] - at
@@ -339,13 +378,16 @@ class SuffixArray:
         found, who, depths = [], np.flatnonzero(hi > lo), np.zeros(len(key), np.int64)
         for c in range(columns.shape[1] + 1):
             if c:
-                x = columns[who, c - 1]
-                a, b = lo[who], hi[who]
-                left = _narrow(self.columns[:, c - 1], a, b, x, False)
-                right = _narrow(self.columns[:, c - 1], left, b, x, True)
+                x, column = columns[who, c - 1], self.columns[:, c - 1]
+                left, right = lo[who], hi[who]
+                part = np.flatnonzero((column[left] != x) | (column[right - 1] != x))
+                if len(part):  # other intervals go on whole
+                    end = right[part]
+                    left[part] = _narrow(column, left[part], end, x[part], False)
+                    right[part] = _narrow(column, left[part], end, x[part], True)
+                    lo[who], hi[who] = left, right
                 ok = (right > left) & (x > 0)
-                who = who[ok]
-                lo[who], hi[who] = left[ok], right[ok]
+                who = who if ok.all() else who[ok]
             if not len(who):
                 break
             depths[who] += 1
@@ -452,7 +494,7 @@ def pack_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpack_words(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
     n = len(tail) // 2
-    out = np.empty((n, 4), np.uint64)
+    out = np.empty((n, 4), np.uint32 if len(head) == n and tail.dtype != np.uint64 else np.uint64)
     if len(head) == n:
         pair = np.cumsum(head.astype(np.uint64), dtype=np.uint64)
         out[:, 0], out[:, 1] = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
@@ -483,7 +525,7 @@ def _laid(text: np.ndarray, place: np.ndarray, size: np.ndarray, width: int) ->
 
 
 def search_shards(sent: DataFrame, r: int) -> DataFrame:
-    """(block, shard, data, sums, split): the answers to each block's queries; at level 0 also which of its suffixes a query matches to their end, and on one row of a shard the trust sums and split keys' trigrams."""
+    """(block, shard, data, going, sums, split): the answers to each block's queries; how many keys the block may ask for at the next level; at level 0 also which of its suffixes a query matches to their end, and on one row of a shard the trust sums and split keys' trigrams."""
 
     def run(pdf):
         import pandas as pd
@@ -504,25 +546,26 @@ def search_shards(sent: DataFrame, r: int) -> DataFrame:
         del columns
         depths, counts, lo, hi = array.search(ask, asked_columns)
         deep = np.zeros(len(array.key), bool)
+        full = depths == width + 1
         if r == 0:
-            full = depths == width + 1
             marks = np.zeros(len(deep) + 1, np.int64)
             np.add.at(marks, lo[full], 1)
             np.add.at(marks, hi[full], -1)
             deep[array.order] = np.cumsum(marks[:-1]) > 0
-        out, a, b, c = [], 0, 0, 0
+        out, going, a, b, c = [], [], 0, 0, 0
         for d, n in zip(got, sizes):
             m, size = len(d["weight"]), int(depths[a : a + n].sum())
             matched = _four(words[c : c + m][deep[c : c + m]]) if r == 0 else np.zeros(0, np.uint64)
+            going.append(int(full[a : a + n].sum()) + (len(matched) if r == 0 else int((d["size"] == width).sum())))
             out.append(pickle.dumps((_pack(depths[a : a + n]), _pack(counts[b : b + size]), _pack(matched))))
             a, b, c = a + n, b + size, c + m
         sums, split = [None] * len(pdf), [None] * len(pdf)
         if r == 0:
             first = np.concatenate([d["first"] for d in got])[array.order]
             sums[0], split[0] = continued(array, np.where(first < SPLIT, first, 255)).ravel(), trigrams(array, first)
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "data": out, "sums": sums, "split": split})
+        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "data": out, "going": going, "sums": sums, "split": split})
 
-    return _by_shard(sent, run, f"{SENT}, sums array<double>, split binary")
+    return _by_shard(sent, run, f"{SENT}, going long, sums array<double>, split binary")
 
 
 def _shard_of(key: np.ndarray, salt: np.ndarray, shards: int) -> np.ndarray:
@@ -554,7 +597,7 @@ def send(b: Block, r: int, index: np.ndarray, asking: np.ndarray, parts_of, shar
     shard, ask_shard = _shard_of(key, salt, shards), _shard_of(ask[who], _ragged(ask_parts), shards)
     if len(who) > len(unique):  # parts of a key that share a shard are asked there once
         who, ask_shard = np.divmod(np.unique(who * shards + ask_shard), shards)
-    if r == 0 and not _wide(b.number):
+    if r == 0 and not (_wide(words) or _wide(asked)):
         pair, ask_pair = _pairs(words[:, 0], words[:, 1]), _pairs(asked[:, 0], asked[:, 1])
         order = np.argsort(pair, kind="stable")
         order, ask_order = order[np.argsort(_small(shard[order]), kind="stable")], np.lexsort((ask_pair[who], ask_shard))
@@ -580,7 +623,7 @@ def send(b: Block, r: int, index: np.ndarray, asking: np.ndarray, parts_of, shar
             text, at = stretches(begin, end)
             size, n = end - begin, len(i)
             places = (np.diff(x, prepend=0).view(np.uint64) for x in (at[:n], at[n:]))
-            data = {"keys": np.diff(keys, prepend=np.uint64(0)), "key": which[:n], "asked": which[n:], "text": b.number[text], "size": size[:n], "asked_size": size[n:]} | dict(zip(("place", "asked_place"), places))
+            data = {"keys": np.diff(keys, prepend=np.uint64(0)), "key": which[:n], "asked": which[n:], "text": b.text(text), "size": size[:n], "asked_size": size[n:]} | dict(zip(("place", "asked_place"), places))
         data["weight"] = weight[i]
         out.append((b.name, int(s), pickle.dumps({k: _pack(v) for k, v in data.items()})))
     return out
@@ -641,7 +684,7 @@ def ask_keys(b: Block, r: int, index: np.ndarray, asking: np.ndarray, shards: in
         return []
     _, some = np.unique(_mix(b.spans(index, depth), b.spans(index, depth + width)), return_index=True)
     distinct, place = _distinct(np.concatenate((b.spans(index[some], depth), b.spans(asking, depth))))
-    return _requests(b.name, distinct, place, np.arange(len(place)) < len(some), shards)
+    return _requests(b.name, distinct, _own(distinct, place, np.arange(len(place)) < len(some)), shards)
 
 
 def token_scores(b: Block, total: int, known: int, trust: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -751,8 +794,10 @@ def score_table(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "
         return out
 
     with transient_shuffles(spark):
-        words = kept(count_words(write_blocks(rows, folder, shards), shards))
-        blocks = materialize(words.select("block").distinct(), "ngram-blocks")
+        blocks = materialize(write_blocks(rows, folder), "ngram-blocks")
+        few = shards_for(blocks.agg(F.sum("words")).first()[0] or 0)
+        words = kept(count_words(ask_words(blocks, folder, few), few))
+        drop_path(spark, f"{folder}/asks")
         total, known = (x or 0 for x in words.agg(F.sum("total"), F.sum("known")).first())
         hot = hot_keys(blocks, folder)
 
@@ -773,7 +818,9 @@ def score_table(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "
         r = 0
         while not answers.isEmpty():
 
-            def ask(b: Block, pdf, r=r):
+            few = shards_for(answers.agg(F.sum("going")).first()[0], shards)
+
+            def ask(b: Block, pdf, r=r, few=few):
                 matched = keep_answers(b, r, pdf)
                 a = Answers(b.folder, r, b.name)
                 if r:
@@ -783,7 +830,7 @@ def score_table(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "
                     index = np.flatnonzero(b.train & (b.end - np.arange(len(b.h)) > 4))
                     index = index[_among(_four(b.columns(index, 0, 4)), np.unique(matched))]
                 asking = going_on(b, a)
-                return ask_keys(b, r + 1, index, asking, shards)
+                return ask_keys(b, r + 1, index, asking, few)
 
             def tell(b: Block, pdf, r=r + 1, room=SHARD_BYTES):
                 b.numbered()

@@ -186,3 +186,14 @@ def test_words_are_packed_without_loss(top):
     for n in (0, 1, 50):
         words = np.array(sorted([r.randrange(1, top) for _ in range(4)] for _ in range(n)), np.int64).reshape(n, 4)
         assert (N.unpack_words(*(N._unpack(N._pack(x)) for x in N.pack_words(words))) == words).all()
+
+
+def test_requests_follow_the_keys(spark, monkeypatch):
+    """A large corpus of few words is asked about in few rows, not in blocks times the shards of its suffixes."""
+    r = random.Random(5)
+    rows, whole = [], N.count_words
+    monkeypatch.setattr(N, "SHARD", 200)
+    monkeypatch.setattr(N, "count_words", lambda requests, shards: rows.append(requests.groupBy("block").count().collect()) or whole(requests, shards))
+    docs = spark.createDataFrame([(i, " ".join(r.choices(["w%d" % k for k in range(60)], k=500))) for i in range(40)], "doc_id long, text string").repartition(4)
+    assert N.score_folds(docs).count() == 40
+    assert len(rows[0]) == 4 and max(x["count"] for x in rows[0]) <= 8
