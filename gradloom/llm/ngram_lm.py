@@ -41,7 +41,7 @@ LENGTHS, COUNTS, SAMPLE = 3, 16, 64
 END = xxhash.xxh64_intdigest(b"\n")
 _ODD = 0xD6E8FEB86659FD93
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-REQUEST = "block string, shard int, keys binary, own binary"
+REQUEST = "block string, shard int, keys binary, own binary, anchors binary"
 SENT = "block string, shard int, data binary"
 #: Added to the class of a suffix's first token where its key is split over several shards.
 SPLIT = 64
@@ -154,7 +154,9 @@ def shards_for(entries: int, most: int | None = None) -> int:
 def _frame(rows: list[tuple]):
     import pandas as pd
 
-    return pd.DataFrame(rows, columns=["block", "shard", "keys", "own"])
+    out = pd.DataFrame([x[:4] for x in rows], columns=["block", "shard", "keys", "own"])
+    out["anchors"] = [x[4] if len(x) > 4 else None for x in rows]
+    return out
 
 
 def write_blocks(docs: DataFrame, folder: str) -> DataFrame:
@@ -275,6 +277,27 @@ class Block:
             return _mix((sums[np.minimum(at + size, self.end[at])] - sums[at]) * inverse[at], np.zeros(1, np.uint64))
 
 
+    def anchors(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Keys of the least of all stretches of a quarter of ``size`` in the next ``size`` tokens of each position: the same for equal tokens, and often for positions that are near.
+
+        All positions have as many tokens left.
+        """
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        doc = np.searchsorted(self.ends, at, "right")
+        some = np.unique(doc)
+        n = self.n[some]
+        first = np.cumsum(n) - n
+        least = self.spans(np.repeat(self.starts[some], n) + _ragged(n), max(1, size // 4))
+        width, step = size - max(1, size // 4) + 1, 1
+        while 2 * step <= width:
+            least[:-step] = np.minimum(least[:-step], least[step:])
+            step *= 2
+        if rest := width - step:
+            least[:-rest] = np.minimum(least[:-rest], least[rest:])
+        return _mix(least[first[np.searchsorted(some, doc)] + at - self.starts[doc]], np.zeros(1, np.uint64))
+
+
 def count_shard(keys: list[np.ndarray], own: list[np.ndarray]) -> list[np.ndarray]:
     """Answers to each block's keys: twice the corpus count, and one more if a held-out token asks anywhere.
 
@@ -307,9 +330,11 @@ def count_words(requests: DataFrame, shards: int) -> DataFrame:
         keys = [_unpack_rising(k) for k in pdf["keys"]]
         own = [_unpack(t) for t in pdf["own"]]
         found = [c >> 1 for c in count_shard(keys, own)]
-        distinct = np.unique(np.concatenate(keys))
+        distinct, at = np.unique(np.concatenate(keys), return_index=True)
+        rank = np.empty(len(distinct), np.int64)
+        rank[np.argsort(-np.concatenate(found)[at], kind="stable")] = np.arange(len(distinct))  # frequent words get numbers of few bytes
         shard = int(pdf["shard"].iloc[0])
-        data = [pickle.dumps((_pack(c), _pack(np.searchsorted(distinct, k) * shards + shard + 1))) for c, k in zip(found, keys)]
+        data = [pickle.dumps((_pack(c), _pack(rank[np.searchsorted(distinct, k)] * shards + shard + 1))) for c, k in zip(found, keys)]
         known = len(np.unique(np.concatenate([k[c > 0] for k, c in zip(keys, found)])))
         head = np.arange(len(pdf)) == 0
         return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "data": data, "known": np.where(head, known, 0), "total": np.where(head, sum(int((t >> 1).sum()) for t in own), 0)})
@@ -318,7 +343,7 @@ def count_words(requests: DataFrame, shards: int) -> DataFrame:
 
 
 def count_keys(requests: DataFrame) -> DataFrame:
-    """(block, shard, data, rows): of each key its suffixes and whether a query asks for it; on one row of a shard the suffixes that are asked for."""
+    """(block, shard, data, rows, anchors): of each key its suffixes and whether a query asks for it; on one row of a shard the suffixes that are asked for; the sampled anchors, handed on."""
 
     def run(pdf):
         import pandas as pd
@@ -328,9 +353,29 @@ def count_keys(requests: DataFrame) -> DataFrame:
         both = np.concatenate(found)
         _, first = np.unique(np.concatenate(keys), return_index=True)
         asked = both[first]
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "data": [_pack(c) for c in found], "rows": np.where(np.arange(len(pdf)) == 0, int((asked >> 1)[(asked & 1) > 0].sum()), 0)})
+        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "data": [_pack(c) for c in found], "rows": np.where(np.arange(len(pdf)) == 0, int((asked >> 1)[(asked & 1) > 0].sum()), 0), "anchors": pdf["anchors"]})
+
+    return _by_shard(requests, run, f"{SENT}, rows long, anchors binary")
+
+
+def _rate(r: int) -> int:
+    """One in so many suffixes of a deep level shows which anchors are hot."""
+    return max(1, min(SAMPLE, SHARD_BYTES // (4 * level(r)[1]) // 64))
+
 
-    return _by_shard(requests, run, f"{SENT}, rows long")
+def hot_anchors(keys: DataFrame, rate: int, limit: int) -> np.ndarray:
+    """Anchors with more suffixes than ``limit``, as sampled: at most as many as would fill a shard's share each, so they fit a closure.  Their suffixes are spread by their keys instead; results don't depend on it."""
+
+    def each(batches):
+        import pandas as pd
+
+        for b in batches:
+            for x in b["anchors"]:
+                anchor, n = np.unique(_unpack(x).astype(np.uint64), return_counts=True)
+                yield pd.DataFrame({"anchor": anchor.view(np.int64), "n": n})
+
+    found = keys.where("anchors is not null").select("anchors").mapInPandas(each, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([x.anchor for x in found.where(F.col("n") * rate > limit).select("anchor").collect()], np.int64).view(np.uint64))
 
 
 def _ragged(lens: np.ndarray) -> np.ndarray:
@@ -573,12 +618,20 @@ def _shard_of(key: np.ndarray, salt: np.ndarray, shards: int) -> np.ndarray:
     return (((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def send(b: Block, r: int, index: np.ndarray, asking: np.ndarray, parts_of, shards: int) -> list[tuple]:
+def send(b: Block, r: int, index: np.ndarray, asking: np.ndarray, parts_of, shards: int, hot: np.ndarray | None = None) -> list[tuple]:
     """Rows (block, shard, data) of level ``r``: the block's suffixes at ``index`` and its queries at ``asking``; what it asked is saved.
 
-    ``parts_of`` gives the number of shards over which each key is split.
+    ``parts_of`` gives the number of shards over which each key is split.  Given ``hot``, suffixes go to shards by anchors, so that those of
+    a shard share their text, and by keys only where the anchor is among the hot ones.
     """
     depth, width = level(r)
+
+    def home(at: np.ndarray, key: np.ndarray) -> np.ndarray:
+        if hot is None:
+            return key
+        anchor = b.anchors(at, depth)
+        return np.where(_among(anchor, hot), key, anchor)
+
     key, ask = b.spans(index, depth), b.spans(asking, depth)
     span = b.spans(index, depth + width)
     order = np.argsort(span)
@@ -594,7 +647,7 @@ def send(b: Block, r: int, index: np.ndarray, asking: np.ndarray, parts_of, shar
     parts, ask_parts = parts_of(key), parts_of(ask)
     salt = (span % parts.astype(np.uint64)).astype(np.int64) if (parts > 1).any() else np.zeros(len(index), np.int64)
     who = np.repeat(np.arange(len(unique)), ask_parts)
-    shard, ask_shard = _shard_of(key, salt, shards), _shard_of(ask[who], _ragged(ask_parts), shards)
+    shard, ask_shard = _shard_of(home(index, key), salt, shards), _shard_of(home(unique, ask)[who], _ragged(ask_parts), shards)
     if len(who) > len(unique):  # parts of a key that share a shard are asked there once
         who, ask_shard = np.divmod(np.unique(who * shards + ask_shard), shards)
     if r == 0 and not (_wide(words) or _wide(asked)):
@@ -675,16 +728,18 @@ def going_on(b: Block, a: Answers) -> np.ndarray:
     return a.at[full & (b.left(a.at) > end) & np.where(b.train[a.at], last > 1, ~covered)]
 
 
-def ask_keys(b: Block, r: int, index: np.ndarray, asking: np.ndarray, shards: int) -> list[tuple]:
+def ask_keys(b: Block, r: int, index: np.ndarray, asking: np.ndarray, shards: int, rate: int) -> list[tuple]:
     """Rows that ask for which keys of level ``r`` there are suffixes and queries."""
     depth, width = level(r)
     index = index[b.left(index) > depth]
     _save(f"{b.folder}/next-{r}", b.name, index=np.diff(index, prepend=0), asking=np.diff(asking, prepend=0))
     if not len(index) and not len(asking):
         return []
-    _, some = np.unique(_mix(b.spans(index, depth), b.spans(index, depth + width)), return_index=True)
+    span, some = np.unique(_mix(b.spans(index, depth), b.spans(index, depth + width)), return_index=True)
     distinct, place = _distinct(np.concatenate((b.spans(index[some], depth), b.spans(asking, depth))))
-    return _requests(b.name, distinct, _own(distinct, place, np.arange(len(place)) < len(some)), shards)
+    rows = _requests(b.name, distinct, _own(distinct, place, np.arange(len(place)) < len(some)), shards)
+    seen = b.anchors(index[some[span % np.uint64(rate) == 0]], depth)
+    return [(*rows[0], _pack(seen)), *rows[1:]] if len(seen) else rows
 
 
 def token_scores(b: Block, total: int, known: int, trust: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -820,7 +875,9 @@ def score_table(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "
 
             few = shards_for(answers.agg(F.sum("going")).first()[0], shards)
 
-            def ask(b: Block, pdf, r=r, few=few):
+            rate = _rate(r + 1)
+
+            def ask(b: Block, pdf, r=r, few=few, rate=rate):
                 matched = keep_answers(b, r, pdf)
                 a = Answers(b.folder, r, b.name)
                 if r:
@@ -830,7 +887,7 @@ def score_table(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "
                     index = np.flatnonzero(b.train & (b.end - np.arange(len(b.h)) > 4))
                     index = index[_among(_four(b.columns(index, 0, 4)), np.unique(matched))]
                 asking = going_on(b, a)
-                return ask_keys(b, r + 1, index, asking, few)
+                return ask_keys(b, r + 1, index, asking, few, rate)
 
             def tell(b: Block, pdf, r=r + 1, room=SHARD_BYTES):
                 b.numbered()
@@ -845,13 +902,14 @@ def score_table(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "
                 if not len(index) and not len(asking):
                     return []
                 each = max(1, room // (4 * width))
-                return send(b, r, index, asking, lambda k: np.maximum(1, -(-(found[np.searchsorted(distinct, k)] >> 1) // each)), wide)
+                return send(b, r, index, asking, lambda k: np.maximum(1, -(-(found[np.searchsorted(distinct, k)] >> 1) // each)), wide, hot_here)
 
             keys = kept(count_keys(_by_block(answers, folder, ask, REQUEST)))
             for done in ("asked", "order", "index"):
                 drop_path(spark, f"{folder}/{done}-{r}")
             r += 1
             wide = int(max(8, -(-4 * level(r)[1] * (keys.agg(F.sum("rows")).first()[0] or 0) // SHARD_BYTES)))
+            hot_here = hot_anchors(keys, rate, SHARD_BYTES // (8 * level(r)[1]))
             answers = kept(search_shards(_by_block(keys, folder, tell, SENT), r))
             drop_path(spark, f"{folder}/next-{r}")
 

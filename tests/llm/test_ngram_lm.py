@@ -197,3 +197,18 @@ def test_requests_follow_the_keys(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(r.choices(["w%d" % k for k in range(60)], k=500))) for i in range(40)], "doc_id long, text string").repartition(4)
     assert N.score_folds(docs).count() == 40
     assert len(rows[0]) == 4 and max(x["count"] for x in rows[0]) <= 8
+
+
+def test_near_positions_share_their_anchor():
+    """Equal tokens have equal anchors, and a text's suffixes go to few shards, each with stretches of it."""
+    r = random.Random(11)
+    text = [r.getrandbits(64) for _ in range(2000)]
+    b = block_of([1, 2, 3, *text, *text, 5], 2003, 2001)
+    b.n, b.ends = np.array([2003, 2001]), np.array([2003, 4004])
+    b.starts = b.ends - b.n
+    at = np.arange(2000 - 64)
+    one, two = b.anchors(at + 3, 64), b.anchors(at + 2003, 64)
+    assert (one == two).all() and (b.anchors(at[5:9] + 3, 64) == one[5:9]).all()
+    assert 20 < len(np.unique(one)) < len(one) / 10
+    least = [min(b.spans(np.arange(k + 3, k + 52), 16)) for k in range(50)]
+    assert (N._mix(np.array(least, np.uint64), np.zeros(1, np.uint64)) == one[:50]).all()
