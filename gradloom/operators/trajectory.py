@@ -47,14 +47,24 @@ def trajectory_embeddings(steps: DataFrame, width: int) -> DataFrame:
     if held or out is None:
         found = emit(held) if held else steps.limit(0).select("epoch", "id", "g")
         out = found if out is None else out.unionByName(found)
-    summed = out.select("epoch", "id", F.posexplode("g").alias("k", "v")).groupBy("epoch", "id", "k").agg(F.sum("v").alias("v"))
-    return summed.groupBy("epoch", "id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv")).select("epoch", "id", F.col("kv.v").alias("g"))
+    return summed(out, "epoch", "id")
+
+
+def summed(rows: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, g): the vectors ``g`` of the rows that share their keys, added up."""
+    each = rows.select(*keys, F.posexplode("g").alias("k", "v")).groupBy(*keys, "k").agg(F.sum("v").alias("v"))
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv")).select(*keys, F.col("kv.v").alias("g"))
 
 
 def attribute(embeddings: DataFrame, test: DataFrame, epoch: int | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """(train_id, test_id, score): <E_i, h_j> of one epoch, or summed over epochs; ``ids`` (id) restricts the training rows."""
+    """(train_id, test_id, score): <E_i, h_j> of one epoch, or summed over epochs; ``ids`` (id) restricts the training rows.
+
+    The sum over epochs is taken of the embeddings, before they meet any test row, so pairs are never shuffled.
+    """
     some = embeddings if epoch is None else embeddings.where(F.col("epoch") == epoch)
     if ids is not None:
         some = some.join(ids, "id", "left_semi")
-    scores = pairs.score_pairs(some.select("id", "g"), test.select("id", "g"), ["g"])
-    return scores if epoch is not None else scores.groupBy("train_id", "test_id").agg(F.sum("score").alias("score"))
+    some, test = some.select("id", "g"), test.select("id", "g")
+    if epoch is None:
+        some, test = summed(some, "id"), summed(test, "id")
+    return pairs.score_pairs(some, test, ["g"])
