@@ -49,6 +49,18 @@ def vectors(df):
     return df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("g"))
 
 
+BOUNDED = {
+    "datainf": lambda t, a, b: influence.datainf(vectors(a), vectors(b), ["g"], 0.1),
+}
+
+
+@pytest.mark.parametrize("name", BOUNDED)
+def test_frames_are_bounded(wide, frames, name):
+    task = SoftmaxTask(2, 2, [np.zeros((2, 3)), np.ones((2, 3))] if name == "tracin" else [])
+    found = BOUNDED[name](task, *wide)
+    assert found.agg(F.count("score"), F.countDistinct("train_id"), F.countDistinct("test_id")).first()[:] == (TRAIN * TESTS, TRAIN, TESTS)
+
+
 def test_trajectory_shuffles_no_pairs(spark):
     r = np.random.default_rng(3)
     e = spark.createDataFrame([(k, i, r.normal(size=2).tolist()) for k in range(3) for i in range(5)], "epoch int, id long, g array<double>")
