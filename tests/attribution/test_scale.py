@@ -51,6 +51,7 @@ def vectors(df):
 
 BOUNDED = {
     "datainf": lambda t, a, b: influence.datainf(vectors(a), vectors(b), ["g"], 0.1),
+    "if_conjugate_gradient": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "cg", 0.01),
 }
 
 
