@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import pairs
-from .store import materialize
+from .store import RowFiles
 
 
 def euclidean(train: np.ndarray, test: np.ndarray) -> np.ndarray:
@@ -27,27 +26,43 @@ def knn_shapley(train: DataFrame, test: DataFrame, k: int, distance: Callable[[n
     """(train_id, test_id, score): Shapley values of training rows (id, x, y) for a k-nearest-neighbour vote on each test row.
 
     Distances are rounded to ``digits`` places; equal ones rank by training id.  The values are running sums
-    from the farthest row on.  All distances are sorted once over the cluster, range by range, and the
-    ranges are joined by prefix sums, so no test row's list lies in one task.  An empty table gives an empty result.
+    from the farthest row on, and a rank needs all distances of a test row at once, so a task takes some test rows and reads the
+    training rows from files in the shared folder, batch by batch: pairs are never shuffled or written.  It takes as many test rows
+    as make TASK_PAIRS pairs, one at least, of which it holds a number each.  An empty table gives an empty result.
     """
+    rows = RowFiles(train, "shapley")
+    n, tests = rows.count, test.count()
+    kind, other = train.schema["id"].dataType.simpleString(), test.schema["id"].dataType.simpleString()
+    some = max(1, pairs.TASK_PAIRS // max(1, n))
 
-    def both(a, b):  # the match rides on the sign: distances aren't negative
-        d = np.round(distance(a[0], b[0]), digits)
-        return np.where(a[1][:, None] == b[1][None, :], -d - 1, d)
-
-    found = pairs.score_pairs(train, test, ["x", "y"], both)
-    found = found.select("train_id", "test_id", F.when(F.col("score") < 0, F.round(-F.col("score") - 1, digits)).otherwise(F.col("score")).alias("d"), (F.col("score") < 0).cast("int").alias("m"))
-    key = ["test_id", "d", "train_id"]
-    placed = materialize(found.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()), "shapley")
-    local = Window.partitionBy("part", "test_id").orderBy("d", "train_id")
-    ranges = placed.groupBy("part", "test_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "train_id", "m")).alias("head"))
-    along = Window.partitionBy("test_id").orderBy("part")  # one row for each range that a test row's list meets
-    ranges = ranges.select("part", "test_id", F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("head.m").over(along).alias("follow"))
-    ranked = placed.join(ranges, ["part", "test_id"]).select("part", "test_id", "train_id", "d", "m", (F.row_number().over(local) + F.col("before")).alias("i"), F.coalesce(F.lead("m").over(local), F.col("follow")).alias("next"))
-    # at the farthest row the step is m / N; elsewhere (m_i - m_{i+1}) / K * min(K, i) / i
-    step = F.when(F.col("next").isNull(), F.col("m") / F.col("i")).otherwise((F.col("m") - F.col("next")) / F.lit(float(k)) * F.least(F.lit(k), "i") / F.col("i"))
-    steps = materialize(ranked.select("part", "test_id", "train_id", "i", step.alias("t")), "shapley-steps")
-    tails = steps.groupBy("part", "test_id").agg(F.sum("t").alias("t"))
-    tails = tails.select("part", "test_id", F.coalesce(F.sum("t").over(along.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)).alias("after"))
-    down = Window.partitionBy("part", "test_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.join(tails, ["part", "test_id"]).select("train_id", "test_id", (F.sum("t").over(down) + F.col("after")).alias("score"))
+    def values(d, same):
+        """Of one test row: the training rows' values, from their distances and whether their labels are the same."""
+        order = np.argsort(d, kind="stable")  # rows come by id
+        m, i = same[order].astype(np.float64), np.arange(1, n + 1)
+        step = np.append((m[:-1] - m[1:]) / float(k) * np.minimum(k, i[:-1]) / i[:-1], m[-1] / n)
+        out = np.empty(n)
+        out[order] = np.cumsum(step[::-1])[::-1]
+        return out
+
+    def run(batches):
+        for b in batches:
+            for s in range(0, len(b) if n else 0, some):
+                part = b.iloc[s : s + some]
+                ids, x, y = part["id"].to_numpy(), pairs.matrix(part["x"]), part["y"].to_numpy()
+                d, same, at = np.empty((len(part), n)), np.empty((len(part), n), bool), 0
+                for who, tx, ty in rows.batches():
+                    d[:, at : at + len(who)] = np.round(distance(tx, x), digits).T
+                    same[:, at : at + len(who)] = y[:, None] == ty[None, :]
+                    at += len(who)
+                for j in range(len(part)):
+                    d[j] = values(d[j], same[j])
+                at, held, size = 0, [], 0
+                for who, _, _ in rows.batches():
+                    held.append((np.tile(who, len(ids)), np.repeat(ids, len(who)), d[:, at : at + len(who)].ravel()))
+                    at, size = at + len(who), size + len(who) * len(ids)
+                    if size >= pairs.CHUNK_PAIRS or at == n:
+                        yield pd.DataFrame(dict(zip(("train_id", "test_id", "score"), map(np.concatenate, zip(*held)))))
+                        held, size = [], 0
+
+    dealt = test.select("id", "x", "y").repartition(max(1, min(tests, max(-(-tests // some), test.sparkSession.sparkContext.defaultParallelism))))
+    return dealt.mapInPandas(run, f"train_id {kind}, test_id {other}, score double")

@@ -76,3 +76,30 @@ def test_trajectory_shuffles_no_pairs(spark):
         y[row.id] += row.g
     rows = found.collect()
     assert len(rows) == 10 and all(np.isclose(z.score, x[z.train_id] @ y[z.test_id]) for z in rows)
+
+
+@pytest.mark.parametrize("name", [str, int])
+def test_shapley_ranks_without_shuffling_pairs(spark, name):
+    """More rows than a file's batch, in several files, with many equal distances, against the definition."""
+    n, k = 1500, 4
+    r = np.random.default_rng(8)
+    x, y = r.integers(0, 6, size=(n, 2)).astype(float), r.integers(0, 3, n)
+    ids = sorted(name(i) for i in range(n))
+    kind = "string" if name is str else "long"
+    rows = spark.createDataFrame([(ids[i], x[i].tolist(), int(y[i])) for i in r.permutation(n)], f"id {kind}, x array<double>, y int").repartition(5)
+    found = shapley.knn_shapley(rows, rows.where(F.col("id").isin([ids[0], ids[700]])), k)
+    assert "Window" not in plan_of(found) and plan_of(found).index("MapInPandas") < plan_of(found).index("Exchange")
+    got = {(a, b): s for a, b, s in found.collect()}
+    assert len(got) == 2 * n
+    for t in (0, 700):
+        order = np.lexsort((np.arange(n), np.round(np.sqrt(((x - x[t]) ** 2).sum(axis=1)), 9)))
+        m, v = (y[order] == y[t]).astype(float), np.zeros(n)
+        v[-1] = m[-1] / n
+        for i in range(n - 2, -1, -1):
+            v[i] = v[i + 1] + (m[i] - m[i + 1]) / k * min(k, i + 1) / (i + 1)
+        assert np.allclose([got[ids[i], ids[t]] for i in order], v)
+
+
+def test_shapley_of_empty_tables(spark):
+    rows = spark.createDataFrame([(1, [0.0], 1)], "id long, x array<double>, y int")
+    assert shapley.knn_shapley(rows.limit(0), rows, 3).count() == shapley.knn_shapley(rows, rows.limit(0), 3).count() == 0
