@@ -52,6 +52,7 @@ def vectors(df):
 BOUNDED = {
     "datainf": lambda t, a, b: influence.datainf(vectors(a), vectors(b), ["g"], 0.1),
     "if_conjugate_gradient": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "cg", 0.01),
+    "if_summed_batches": lambda t, a, b: influence.fisher_influence(vectors(a).withColumn("batch", F.col("id") % 4), vectors(b), 2, regularization=0.01, batch_col="batch"),
 }
 
 
@@ -62,6 +63,21 @@ def test_frames_are_bounded(wide, frames, name):
     assert found.agg(F.count("score"), F.countDistinct("train_id"), F.countDistinct("test_id")).first()[:] == (TRAIN * TESTS, TRAIN, TESTS)
 
 
+def test_summed_batches_hold_no_batch(wide):
+    """Each batch's matrix comes of partial sums; the result is that of the batches' own rows."""
+    a, b = (vectors(x) for x in wide)
+    a = a.repartition(3).withColumn("batch", F.col("id") % 4)
+    got = influence.fisher_influence(a, b.where("id < 3"), 2, regularization=0.01, batch_col="batch")
+    own = a.toPandas()
+    total = sum(np.linalg.inv(m.T @ m / len(m) + 0.01 * np.eye(2)) for m in (np.array(x["g"].tolist()) for _, x in own.groupby("batch")))
+    g = np.array(own.sort_values("id")["g"].tolist())
+    h = np.array([r.g for r in b.where("id < 3").orderBy("id").collect()])
+    got = got.toPandas()
+    assert np.allclose(got["score"], (g @ total @ h.T)[got["train_id"], got["test_id"]])
+    inverses = influence._batch_inverses(a, "batch", 2, 0.01)
+    assert plan_of(inverses).index("Exchange") < plan_of(inverses).index("MapInPandas")  # only sums reach a batch's task
+
+
 def test_trajectory_shuffles_no_pairs(spark):
     r = np.random.default_rng(3)
     e = spark.createDataFrame([(k, i, r.normal(size=2).tolist()) for k in range(3) for i in range(5)], "epoch int, id long, g array<double>")
