@@ -53,6 +53,7 @@ BOUNDED = {
     "datainf": lambda t, a, b: influence.datainf(vectors(a), vectors(b), ["g"], 0.1),
     "if_conjugate_gradient": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "cg", 0.01),
     "if_summed_batches": lambda t, a, b: influence.fisher_influence(vectors(a).withColumn("batch", F.col("id") % 4), vectors(b), 2, regularization=0.01, batch_col="batch"),
+    "if_arnoldi": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "arnoldi", 0.01, max_iter=2, top_k=2),
 }
 
 
