@@ -55,6 +55,7 @@ BOUNDED = {
     "if_summed_batches": lambda t, a, b: influence.fisher_influence(vectors(a).withColumn("batch", F.col("id") % 4), vectors(b), 2, regularization=0.01, batch_col="batch"),
     "if_arnoldi": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "arnoldi", 0.01, max_iter=2, top_k=2),
     "if_lissa": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "lissa", 0.01, depth=10, scaling=20.0),
+    "if_explicit": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "explicit", 0.01),
 }
 
 
