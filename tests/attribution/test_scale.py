@@ -66,6 +66,24 @@ def test_frames_are_bounded(wide, frames, name):
     assert found.agg(F.count("score"), F.countDistinct("train_id"), F.countDistinct("test_id")).first()[:] == (TRAIN * TESTS, TRAIN, TESTS)
 
 
+def test_training_rows_are_dealt_out(wide, monkeypatch):
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 40_000)
+    found = influence.fisher_influence(*map(vectors, wide), 2, "explicit", 0.01, "l")
+    assert found.rdd.getNumPartitions() == 16 and found.count() == TRAIN * TESTS
+
+
+def test_relatif_joins_nothing(wide):
+    a, b = map(vectors, wide)
+    found = influence.fisher_influence(a, b.where("id < 4"), 2, "explicit", 0.01, "l")
+    assert "Join" not in plan_of(found) and "Exchange" not in plan_of(found)
+    g = np.array([r.g for r in a.orderBy("id").collect()])
+    h = np.array([r.g for r in b.where("id < 4").orderBy("id").collect()])
+    inv = np.linalg.inv(g.T @ g / len(g) + 0.01 * np.eye(2))
+    got = found.toPandas()
+    want = g @ inv @ h.T / np.sqrt(((g @ inv) * g).sum(axis=1))[:, None]
+    assert np.allclose(got["score"], want[got["train_id"], got["test_id"]])
+
+
 def test_summed_batches_hold_no_batch(wide):
     """Each batch's matrix comes of partial sums; the result is that of the batches' own rows."""
     a, b = (vectors(x) for x in wide)
