@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,17 +61,12 @@ def representer_points(task: SoftmaxTask, train: DataFrame, test: DataFrame, the
     """(train_id, test_id, score): feature product times the training row's weight for the test row's label."""
     left = weights(task, train, theta, l2)
     right = task.rows(test).select("id", F.col("x"), F.col("y"))
-    kind, other = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
     unit = lambda m: m / np.maximum(np.sqrt((m**2).sum(axis=1, keepdims=True)), 1e-12) if normalize else m
-    out = None
-    for ids, (x, y) in pairs.blocks(right, "id", ["x", "y"]):
-
-        def run(batches, ids=ids, x=x, y=y):
-            for b in batches:
-                if len(b) and len(ids):
-                    m = (unit(pairs.matrix(b["x"])) @ unit(x).T) * pairs.matrix(b["alpha"])[:, y]
-                    yield pd.DataFrame({"train_id": np.repeat(b["id"].to_numpy(), len(ids)), "test_id": np.tile(ids, len(b)), "score": m.ravel()})
-
-        part = left.mapInPandas(run, f"train_id {kind}, test_id {other}, score double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    kind = right.schema["id"].dataType.simpleString()
+    tests, parts = pairs.size(right, ["x", "y"])
+    left = pairs.spread(left, left.count(), tests)
+
+    def score(c, held):
+        return (unit(c[0]) @ unit(held[0]).T) * c[1][:, held[1]]
+
+    return reduce(DataFrame.unionByName, [pairs.cross(left, ["x", "alpha"], ids, held, score, kind) for ids, held in pairs.blocks(right, "id", ["x", "y"], parts)])
