@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import correlation_p_column
+from . import pairs
 from .store import materialize
 
 
@@ -21,6 +22,14 @@ def loo_correlation(scores: DataFrame, truth: DataFrame) -> DataFrame:
     return _pearson(scores.join(truth, ["train_id", "test_id"]), "test_id", "score", "value")
 
 
+def loo_correlation_of(train: DataFrame, test: DataFrame, columns: list[str], score: pairs.Score, value: pairs.Score) -> DataFrame:
+    """``loo_correlation`` of two scores of the same rows (id, *columns), from moments added up where the pairs are formed."""
+    m = pairs.pair_moments(train, test, columns, score, value)
+    size = F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))
+    found = m.select("test_id", F.when(size > 0, F.col("ab") / size).otherwise(F.lit(float("nan"))).alias("corr"), F.col("n").cast("long").alias("n"))
+    return found.select("test_id", "corr", correlation_p_column(F.col("corr"), F.col("n")).alias("p"))
+
+
 def average_rank(rows: DataFrame, by: list[str], column: str, out: str) -> DataFrame:
     """``rows`` with the rank of ``column`` within ``by``, equal values sharing the mean of their ranks."""
     sizes = rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
@@ -36,14 +45,21 @@ def subset_sums(scores: DataFrame, members: DataFrame) -> DataFrame:
 
 def lds(scores: DataFrame, members: DataFrame, truth: DataFrame) -> DataFrame:
     """(test_id, corr, p): Spearman correlation over subsets of summed scores with (subset_id, test_id, value)."""
-    both = subset_sums(scores, members).join(truth, ["subset_id", "test_id"]).select("subset_id", "test_id", "total", "value")
-    ranked = average_rank(average_rank(both, ["test_id"], "total", "r1"), ["test_id"], "value", "r2")
-    return _pearson(ranked, "test_id", "r1", "r2")
+    return _rank_correlation(subset_sums(scores, members), truth)
 
 
 def lds_rounded(scores: DataFrame, members: DataFrame, truth: DataFrame, digits: int) -> DataFrame:
     """``lds`` with both sides rounded before ranking, for results that other engines can repeat."""
-    both = subset_sums(scores, members).join(truth, ["subset_id", "test_id"]).select("subset_id", "test_id", F.round("total", digits).alias("total"), F.round("value", digits).alias("value"))
+    return lds_totals(subset_sums(scores, members), truth, digits)
+
+
+def lds_totals(totals: DataFrame, truth: DataFrame, digits: int) -> DataFrame:
+    """``lds_rounded`` of scores summed already (subset_id, test_id, total), as by ``pairs.subset_totals``."""
+    return _rank_correlation(totals.withColumn("total", F.round("total", digits)), truth.withColumn("value", F.round("value", digits)))
+
+
+def _rank_correlation(totals: DataFrame, truth: DataFrame) -> DataFrame:
+    both = totals.join(truth, ["subset_id", "test_id"]).select("subset_id", "test_id", "total", "value")
     ranked = average_rank(average_rank(both, ["test_id"], "total", "r1"), ["test_id"], "value", "r2")
     return _pearson(ranked, "test_id", "r1", "r2")
 
@@ -84,46 +100,53 @@ def found_curve(rows: DataFrame, every: int = 100, score: str = "score", flag: s
     return steps.select("checked", F.sum("hit").over(Window.orderBy("checked")).alias("found"))  # one row for each step
 
 
+def top_ranked(scores: DataFrame, most: int) -> DataFrame:
+    """(test_id, train_id, rank): the ``most`` training rows of highest score, ranked from 1 on."""
+    order = Window.partitionBy("test_id").orderBy(F.desc("score"), "train_id")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("test_id", "train_id", "rank")
+
+
 def top_removed(scores: DataFrame, search: list[int]) -> DataFrame:
     """(test_id, k, train_id): for each k of the search list the k training rows of highest score."""
-    order = Window.partitionBy("test_id").orderBy(F.desc("score"), "train_id")
-    top = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max([*search, 0]))
     ks = F.explode(F.array(*[F.lit(k) for k in search])).alias("k")
-    return top.select("test_id", "train_id", "rank", ks).where("rank <= k").select("test_id", "k", "train_id")
+    return top_ranked(scores, max([*search, 0])).select("test_id", "train_id", "rank", ks).where("rank <= k").select("test_id", "k", "train_id")
 
 
 def centroid_brittleness(scores: DataFrame, train: DataFrame, test: DataFrame, search: list[int]) -> DataFrame:
     """(test_id, k): least k of the search list after whose removal the nearest-centroid class of a test row isn't its label; null if none.
 
     ``train``, ``test``: (id, x, y).  Retraining without k rows is the class sums less those rows, so no model is fitted twice.
+    Only the training rows of highest score count, so ``scores`` may be ``pairs.top_pairs`` with the largest k.
     """
     import numpy as np
     import pandas as pd
 
     labels = sorted(r.y for r in train.select("y").distinct().collect())
-    from . import pairs
-
     dim = train.select(F.size("x").alias("d")).first().d
     sums = pairs.partial_matrix(train, ["x", "y"], lambda c: np.stack([np.append(c[0][c[1] == y].sum(axis=0), (c[1] == y).sum()) for y in labels]), (len(labels), dim + 1))
-    gone = top_removed(scores, search).join(train.select(F.col("id").alias("train_id"), "x", "y"), "train_id")
-    rows = gone.join(test.select(F.col("id").alias("test_id"), F.col("x").alias("tx"), F.col("y").alias("ty")), "test_id")
-
-    def run(pdf):
-        tx, ty = np.array(pdf["tx"].iloc[0]), pdf["ty"].iloc[0]
-        out = None
+    gone = top_ranked(scores, max([*search, 0])).join(train.select(F.col("id").alias("train_id"), "x", "y"), "train_id").select("test_id", "rank", "x", "y")
+    own = test.select(F.col("id").alias("test_id"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+
+    def run(top, own):
+        if not len(top) or not len(own):
+            return pd.DataFrame({"test_id": own["test_id"].iloc[:0], "k": pd.array([], dtype="Int64")})
+        tx, ty = np.array(own["tx"].iloc[0]), own["ty"].iloc[0]
+        top = top.sort_values("rank")
+        out, s, done = None, sums.copy(), 0
         for k in sorted(search):
-            part = pdf[pdf["k"] == k]
-            s = sums.copy()
-            for x, y in zip(part["x"], part["y"]):
+            upto = int((top["rank"] <= k).sum())
+            for x, y in zip(top["x"].iloc[done:upto], top["y"].iloc[done:upto]):
                 s[labels.index(y)] -= np.append(x, 1.0)
+            done = upto
             centre = s[:, :-1] / np.maximum(s[:, -1:], 1e-12)
             far = np.where(s[:, -1] > 0.5, ((centre - tx) ** 2).sum(axis=1), np.inf)
             if labels[int(np.argmin(far))] != ty:
                 out = k
                 break
-        return pd.DataFrame({"test_id": [pdf["test_id"].iloc[0]], "k": pd.array([out], dtype="Int64")})
+        return pd.DataFrame({"test_id": [own["test_id"].iloc[0]], "k": pd.array([out], dtype="Int64")})
 
-    return rows.groupBy("test_id").applyInPandas(run, f"test_id {test.schema['id'].dataType.simpleString()}, k long")
+    kind = test.schema["id"].dataType.simpleString()
+    return gone.groupBy("test_id").cogroup(own.groupBy("test_id")).applyInPandas(run, f"test_id {kind}, k long")
 
 
 def token_accuracy(rows: DataFrame, predicted: str, target: str, pad: int) -> DataFrame:

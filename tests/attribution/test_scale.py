@@ -141,3 +141,26 @@ def test_shapley_ranks_without_shuffling_pairs(spark, name):
 def test_shapley_of_empty_tables(spark):
     rows = spark.createDataFrame([(1, [0.0], 1)], "id long, x array<double>, y int")
     assert shapley.knn_shapley(rows.limit(0), rows, 3).count() == shapley.knn_shapley(rows, rows.limit(0), 3).count() == 0
+
+
+def test_correlations_far_from_zero(wide):
+    """Moments joined over steps, tiles and tasks lose no digits to a large mean."""
+    a, b = (vectors(x) for x in wide)
+    score, value = pairs.dots, lambda c, t: 1e8 - ((c[0][:, None] - t[0][None]) ** 2).sum(axis=2)
+    got = {r.test_id: (r.corr, r.p) for r in metrics.loo_correlation_of(a.repartition(3), b, ["g"], score, value).collect()}
+    g, h = (np.array([r.g for r in t.orderBy("id").collect()]) for t in (a, b))
+    s, v = g @ h.T, -((g[:, None] - h[None]) ** 2).sum(axis=2)
+    assert len(got) == TESTS and all(abs(got[j][0] - np.corrcoef(s[:, j], v[:, j])[0, 1]) < 1e-6 for j in range(TESTS))
+    flat = metrics.loo_correlation_of(a, b.where("id = 0"), ["g"], score, lambda c, t: np.ones((len(c[0]), len(t[0])))).first()
+    assert np.isnan(flat["corr"])
+
+
+@pytest.mark.parametrize("name", ["loo_correlation"])
+def test_queries_that_list_no_pairs(spark, monkeypatch, name):
+    """They ask a little of each test row, so the pairs never leave the tasks that form them."""
+
+    def refuse(*a, **k):
+        raise AssertionError("all pairs are listed")
+
+    monkeypatch.setattr(pairs, "score_pairs", refuse)
+    assert queries.QUERIES[name](spark, SMALL).count() == 10
