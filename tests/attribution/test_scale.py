@@ -57,6 +57,7 @@ BOUNDED = {
     "if_lissa": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "lissa", 0.01, depth=10, scaling=20.0),
     "if_explicit": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "explicit", 0.01),
     "representer_points": lambda t, a, b: representer.representer_points(t, a, b, t.checkpoints[0]),
+    "relatif_theta": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "explicit", 0.01, "theta"),
 }
 
 
