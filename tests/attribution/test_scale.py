@@ -144,6 +144,18 @@ def test_shapley_of_empty_tables(spark):
     assert shapley.knn_shapley(rows.limit(0), rows, 3).count() == shapley.knn_shapley(rows, rows.limit(0), 3).count() == 0
 
 
+def test_top_pairs(wide, monkeypatch):
+    """With ties, several partitions, blocks and narrowings, as the window over all pairs."""
+    a, b = (vectors(x).withColumn("g", F.transform("g", lambda v: F.floor(v))).withColumn("g", F.col("g").cast("array<double>")) for x in wide)
+    a = a.repartition(3)
+    want = metrics.top_ranked(pairs.score_pairs(a, b, ["g"]), 7)
+    monkeypatch.setattr(pairs, "TOP_HELD", 3000)
+    top = pairs.top_pairs(a, b, ["g"], 7)
+    assert top.count() <= 3 * 7 * TESTS
+    got = metrics.top_ranked(top, 7)
+    assert got.count() == 7 * TESTS and got.exceptAll(want).count() == 0
+
+
 def test_correlations_far_from_zero(wide):
     """Moments joined over steps, tiles and tasks lose no digits to a large mean."""
     a, b = (vectors(x) for x in wide)
@@ -156,7 +168,7 @@ def test_correlations_far_from_zero(wide):
     assert np.isnan(flat["corr"])
 
 
-@pytest.mark.parametrize("name", ["loo_correlation"])
+@pytest.mark.parametrize("name", ["loo_correlation", "brittleness"])
 def test_queries_that_list_no_pairs(spark, monkeypatch, name):
     """They ask a little of each test row, so the pairs never leave the tasks that form them."""
 
