@@ -156,6 +156,15 @@ def test_top_pairs(wide, monkeypatch):
     assert got.count() == 7 * TESTS and got.exceptAll(want).count() == 0
 
 
+def test_subset_totals(spark, wide):
+    a, b = (vectors(x) for x in wide)
+    a = a.unionByName(a.where("id < 3"))
+    members = spark.createDataFrame([(s, i) for s in (2, 5) for i in range(TRAIN) if i % 3 != s % 3] + [(5, 1)], "subset_id int, train_id long")
+    want = metrics.subset_sums(pairs.score_pairs(a, b, ["g"]), members).withColumnRenamed("total", "w")
+    both = pairs.subset_totals(a, members, b, ["g"]).join(want, ["subset_id", "test_id"])
+    assert both.count() == 2 * TESTS and both.agg(F.max(F.abs(F.col("total") - F.col("w")))).first()[0] < 1e-9
+
+
 def test_correlations_far_from_zero(wide):
     """Moments joined over steps, tiles and tasks lose no digits to a large mean."""
     a, b = (vectors(x) for x in wide)
@@ -168,7 +177,7 @@ def test_correlations_far_from_zero(wide):
     assert np.isnan(flat["corr"])
 
 
-@pytest.mark.parametrize("name", ["loo_correlation", "brittleness"])
+@pytest.mark.parametrize("name", ["loo_correlation", "lds", "brittleness"])
 def test_queries_that_list_no_pairs(spark, monkeypatch, name):
     """They ask a little of each test row, so the pairs never leave the tasks that form them."""
 
