@@ -58,6 +58,7 @@ BOUNDED = {
     "if_explicit": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "explicit", 0.01),
     "representer_points": lambda t, a, b: representer.representer_points(t, a, b, t.checkpoints[0]),
     "relatif_theta": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "explicit", 0.01, "theta"),
+    "logra": lambda t, a, b: block_influence.attribute(*[vectors(x).withColumn("layer", F.explode(F.array(F.lit("p"), F.lit("q")))) for x in (a, b)], {"p": np.eye(2), "q": np.eye(2)}),
 }
 
 
