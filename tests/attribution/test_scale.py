@@ -179,7 +179,7 @@ def test_correlations_far_from_zero(wide):
     assert np.isnan(flat["corr"])
 
 
-@pytest.mark.parametrize("name", ["loo_correlation", "lds", "brittleness"])
+@pytest.mark.parametrize("name", ["loo_correlation", "lds", "brittleness", "strongest_influence"])
 def test_queries_that_list_no_pairs(spark, monkeypatch, name):
     """They ask a little of each test row, so the pairs never leave the tasks that form them."""
 
