@@ -60,6 +60,7 @@ BOUNDED = {
     "relatif_theta": lambda t, a, b: influence.fisher_influence(vectors(a), vectors(b), 2, "explicit", 0.01, "theta"),
     "logra": lambda t, a, b: block_influence.attribute(*[vectors(x).withColumn("layer", F.explode(F.array(F.lit("p"), F.lit("q")))) for x in (a, b)], {"p": np.eye(2), "q": np.eye(2)}),
     "trak_dropout": lambda t, a, b: trak.trak([vectors(a)] * 2, [vectors(b)] * 2, [t.correct_probability(a)] * 2, 2, 0.1),
+    "grad_cosine": lambda t, a, b: tracin.grad_cosine(t, a, b),
 }
 
 
