@@ -61,6 +61,7 @@ BOUNDED = {
     "logra": lambda t, a, b: block_influence.attribute(*[vectors(x).withColumn("layer", F.explode(F.array(F.lit("p"), F.lit("q")))) for x in (a, b)], {"p": np.eye(2), "q": np.eye(2)}),
     "trak_dropout": lambda t, a, b: trak.trak([vectors(a)] * 2, [vectors(b)] * 2, [t.correct_probability(a)] * 2, 2, 0.1),
     "grad_cosine": lambda t, a, b: tracin.grad_cosine(t, a, b),
+    "tracin": lambda t, a, b: tracin.tracin(t, a, b, [0.5, 0.5]),
 }
 
 
@@ -71,6 +72,18 @@ def test_frames_are_bounded(wide, frames, name):
     assert found.agg(F.count("score"), F.countDistinct("train_id"), F.countDistinct("test_id")).first()[:] == (TRAIN * TESTS, TRAIN, TESTS)
 
 
+def test_tiles_are_put_in_place(spark, wide):
+    """Tiles and steps of a score, summed over parts with repeated ids, against one product."""
+    a, b = (vectors(x) for x in wide)
+    a, b = a.unionByName(a.where("id < 7")), b.unionByName(b.where("id % 100 = 99"))
+    got = pairs.score_sum([a, a], [b, b], ["g"], [pairs.dots] * 2, [0.25, 0.5]).toPandas()
+    x, y = (np.zeros((n, 2)) for n in (TRAIN, TESTS))
+    for m, t in ((x, a), (y, b)):
+        for r in t.collect():
+            m[r.id] += r.g
+    assert len(got) == TRAIN * TESTS and np.allclose(got["score"], (0.75 * x @ y.T)[got["train_id"], got["test_id"]])
+
+
 def test_training_rows_are_dealt_out(wide, monkeypatch):
     monkeypatch.setattr(pairs, "TASK_PAIRS", 40_000)
     found = influence.fisher_influence(*map(vectors, wide), 2, "explicit", 0.01, "l")
