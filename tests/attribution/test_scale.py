@@ -62,6 +62,7 @@ BOUNDED = {
     "trak_dropout": lambda t, a, b: trak.trak([vectors(a)] * 2, [vectors(b)] * 2, [t.correct_probability(a)] * 2, 2, 0.1),
     "grad_cosine": lambda t, a, b: tracin.grad_cosine(t, a, b),
     "tracin": lambda t, a, b: tracin.tracin(t, a, b, [0.5, 0.5]),
+    "ekfac": lambda t, a, b: influence.ekfac(MLPTask([[np.ones((2, 3)), np.eye(2, 3)]]), a, b, 0.1),
 }
 
 
